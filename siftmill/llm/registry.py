@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siftmill.llm import exact_dedup
+from siftmill.llm import exact_dedup, quality, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_quality": quality.op3_quality,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
