@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.common import SPACES, scratch, stored, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state lives on disk; without pre-allocation, many small stores take the disk that their rows need.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -47,8 +50,9 @@ def arrive(stream: DataFrame, state_dir: str) -> DataFrame:
     Counts only grow and the best row only improves, so the last state of a key is its largest count and least best.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("seen"), best())
         changed = f"{state_dir}/changed"
@@ -65,7 +69,8 @@ def arrive(stream: DataFrame, state_dir: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = f"digest string, seen long, best struct<neg_points: long, id: {dict(stream.dtypes)['id']}, locator: string>"
     log = spark.read.schema(schema).parquet(f"{changed}/batch=*")
     return log.groupBy("digest").agg(F.max("seen").alias("group_size"), F.min("best").alias("best"))
