@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from siftmill.llm import exact_dedup, near_dedup, quality, token_counts
+from siftmill.llm import embedding_dedup, exact_dedup, near_dedup, quality, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality": quality.op3_quality,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
 }
