@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmill.llm import embedding_dedup, exact_dedup, near_dedup, quality, token_counts
+from siftmill.llm import embedding_dedup, exact_dedup, langid, near_dedup, quality, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op10_langid": langid.op10_langid,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
