@@ -41,3 +41,16 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def held_out(id_col: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, parts: int = 1000) -> DataFrame:
+    """``rows`` joined to the one row that ``groups`` has for their keys, whatever share of the rows a key holds.
+
+    ``size`` counts the rows of a group and ``total`` all rows, so that at most ``parts`` groups hold over 1 / parts of
+    them: those few are broadcast, and only keys below that share are dealt out by a shuffle.
+    """
+    hot = F.col(size) * parts > total
+    large, small = groups.filter(hot), groups.filter(~hot)
+    with_large = rows.join(F.broadcast(large), keys)
+    with_small = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys)
+    return with_large.unionByName(with_small)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm.blocks import compared
-from siftmill.llm.common import small_batches, stored, table
+from siftmill.llm.common import join_groups, small_batches, stored, table
 from siftmill.llm.components import components
 
 NAMED = 10
@@ -150,8 +150,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.filter("a IS NOT NULL").select("a", "b"))
     rep = classes.join(counts, "id", "left").join(joined, "id", "left")
-    rep = rep.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = good.join(rep, ["label", "v"]).select("id", "n_links", "component_id")
+    rep = rep.select("label", "v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    total = classes.agg(F.sum("copies")).first()[0]
+    out = join_groups(good, rep, ["label", "v"], "copies", total).select("id", "n_links", "component_id")
     alone = rows.join(good.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("id") == F.col("component_id"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm.blocks import compared
-from siftmill.llm.common import small_batches, stored, table
+from siftmill.llm.common import join_groups, small_batches, stored, table
 from siftmill.llm.components import components, merged
 
 BANDS, ROWS = 40, 5
@@ -216,12 +216,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     all_sigs = stored(signatures(docs), "signatures")
     digest = ["digest_a", "digest_b", "n_shingles"]
-    classes = all_sigs.filter("n_shingles > 0").groupBy(*digest).agg(F.min("id").alias("rep"))
-    reps = stored(all_sigs.filter("n_shingles > 0").join(classes, digest).filter("id = rep").select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "classes")
+    full = all_sigs.filter("n_shingles > 0")
+    total = full.count()
+    classes = stored(full.groupBy(*digest).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets_seen")
+    reps = stored(join_groups(full, classes, digest, "copies", total).filter("id = rep").select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "classes")
 
     in_bands = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    shared = stored(in_bands.join(buckets, "bucket"), "buckets")
+    shared = stored(join_groups(in_bands, stored(buckets, "bands"), ["bucket"], "n", BANDS * total), "buckets")
     wanted = shared.select("id").distinct()
     sets = stored(set_table(docs.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "sets")
 
@@ -241,7 +243,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = first.join(joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), "component_id", "left")
     final = final.select(F.col("id").alias("rep"), F.coalesce("top", "component_id").alias("component_id"))
 
-    classed = all_sigs.filter("n_shingles > 0").select("id", *digest).join(classes, digest).select("id", "n_shingles", "rep").join(final, "rep").select("id", "n_shingles", "component_id")
+    classed = classes.join(final, "rep")
+    classed = join_groups(full.select("id", *digest), classed, digest, "copies", total).select("id", "n_shingles", "component_id")
     out = classed.unionByName(all_sigs.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
 
