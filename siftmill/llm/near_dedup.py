@@ -1,11 +1,13 @@
 """Near-duplicate documents: MinHash bands find candidates, odd sketches sift them, full shingle sets confirm them.
 
-Documents with the same set of shingles form a class and are compared once. A class's MinHash samples give the keys of
-its bands and are folded into an odd sketch, a bitmap in which each sample flips one bit; the ones in the XOR of two
-sketches estimate how many samples differ, precisely so at high similarity. Every member of a band's bucket is first
-held against the bucket's least and greatest member. Where a bucket then still holds several components, its members
-are compared block against block by their sketches, so that no pair that shares a bucket and could matter is left out,
-and no bucket is ever expanded into its pairs. Links are confirmed on whole sets of 64-bit shingle hashes.
+Documents with the same set of shingles form a class and are compared once. A class's MinHash samples under many hash
+functions give the keys of its bands; its MinHash samples under one hash function, the KEPT least hashes (all of a small
+set), are folded into an odd sketch, a bitmap in which each sample flips one bit. The ones in the XOR of two sketches
+tell how many samples differ, precisely so at high similarity. Every member of a band's bucket is first held against the
+bucket's least and greatest member. Where a bucket then still holds several components, its members are compared block
+against block by their sketches: first each with its closest match elsewhere, and then, for what is still apart, all
+with all, so that no pair that shares a bucket and could matter is left out, and no bucket is expanded into its pairs.
+Links are confirmed on whole sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from siftmill.llm.components import components, merged
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Pairs whose sketches estimate less than this are not confirmed: at a true 0.8 that is over five deviations away.
-SKETCH_LEAST = 0.5
+KEPT, SKETCH_BITS = 1024, 1024
+#: Pairs are sifted out where their sketches differ by so many deviations more than at the similarity that links.
+DEVIATIONS = 6.0
 SHINGLE = 4
 _draw = np.random.default_rng(20240521)
 _MULTIPLY = (_draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -90,18 +92,26 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(keys.T).view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """The parity bitmaps of the samples, sets x SKETCH_BITS / 64."""
-    n = samples.shape[1]
-    bit = mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))[:, None]) % np.uint64(SKETCH_BITS)
-    at = bit.astype(np.int64) + np.arange(n)[None, :] * SKETCH_BITS
-    parity = np.bincount(at.reshape(-1), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bitmaps of the sets' KEPT least hashes, sets x SKETCH_BITS / 64."""
+    kept = [s[:KEPT] for s in sets]  # sets are sorted
+    owner = np.repeat(np.arange(len(kept)), [len(s) for s in kept])
+    bit = (mix(np.concatenate(kept), 3) % np.uint64(SKETCH_BITS)).astype(np.int64) + owner * SKETCH_BITS
+    parity = np.bincount(bit, minlength=len(kept) * SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.int64)
 
 
-def most_ones(least: float = SKETCH_LEAST) -> int:
-    """The ones in the XOR of two sketches at which the estimated similarity falls to ``least``."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - least) / SKETCH_BITS)))
+def most_ones(n_a, n_b, percent: int, least=np.minimum, greatest=np.maximum, exp=np.exp, root=np.sqrt):
+    """The ones that the XOR of two linked sets' sketches stays below; for numbers, arrays or columns of set sizes."""
+    shared = (n_a + n_b) * (percent / (100.0 + percent))
+    rate = least(1.0 + 0 * n_a, KEPT / (greatest(n_a, n_b) + 0.0))
+    common = shared * rate
+    kept = least(n_a, KEPT + 0 * n_a) + least(n_b, KEPT + 0 * n_b)
+    drawn = 2 * root(greatest(common * (1 - rate), 0 * common) * 0.25)
+    differ = greatest(kept - 2 * common, 0 * common) + DEVIATIONS * drawn
+    fade = exp(differ * (-4.0 / SKETCH_BITS))
+    spread = root(greatest((1 - fade) * (SKETCH_BITS / 4) - differ * fade, 0 * fade))
+    return (1 - exp(differ * (-2.0 / SKETCH_BITS))) * (SKETCH_BITS / 2) + DEVIATIONS * spread + 2
 
 
 def portions(rows: list, size, most: int = 400_000) -> Iterator[slice]:
@@ -138,7 +148,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 starts = np.r_[0, np.cumsum([len(s) for s in full])[:-1]]
                 sums = [np.add.reduceat(mix(flat, salt), starts).view(np.int64) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[part.start : part.stop], pa.array(sizes), *map(pa.array, sums), _lists(band_keys(samples), BANDS), _lists(odd_sketches(samples), SKETCH_BITS // 64)],
+                    [ids[part.start : part.stop], pa.array(sizes), *map(pa.array, sums), _lists(band_keys(samples), BANDS), _lists(odd_sketches(full), SKETCH_BITS // 64)],
                     names=["id", "n_shingles", "digest_a", "digest_b", "bands", "sketch"],
                 )
 
@@ -171,7 +181,8 @@ def sifted(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     ones = sum((F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return both.filter(sizes & (ones <= most_ones())).select("a", "b")
+    most = most_ones(F.col("n_a").cast("double"), F.col("n_b").cast("double"), percent, F.least, F.greatest, F.exp, F.sqrt)
+    return both.filter(sizes & (ones <= most)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,9 +193,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(alike(F.size("set_a"), F.size("set_b"), shared, percent)).select("a", "b")
 
 
-def block_candidates(percent: int):
-    """Compares two blocks by sketches: pairs of different components that are close enough."""
-    most = most_ones()
+def block_candidates(percent: int, closest: bool):
+    """Compares two blocks by sketches: pairs of different components that are close enough, or each row's closest of those."""
 
     def compare(left: dict, right: dict, same: bool) -> pa.RecordBatch | None:
         arrays = []
@@ -192,12 +202,21 @@ def block_candidates(percent: int):
             sketch = side["sketch"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_BITS // 64)
             arrays.append((side["id"].to_numpy(), side["component_id"].to_numpy(), side["n_shingles"].to_numpy(), sketch))
         (id_a, comp_a, n_a, s_a), (id_b, comp_b, n_b, s_b) = arrays
-        ones = np.zeros((len(id_a), len(id_b)), dtype=np.uint16)
+        apart = comp_a[:, None] != comp_b[None, :]
+        if not apart.any():
+            return None
+        ones = np.zeros(apart.shape, dtype=np.uint16)
         for k in range(s_a.shape[1]):
             ones += np.bitwise_count(s_a[:, k, None] ^ s_b[None, :, k])
         sizes = np.minimum(n_a[:, None], n_b[None, :]) * 100 >= np.maximum(n_a[:, None], n_b[None, :]) * percent
-        good = (ones <= most) & sizes & (comp_a[:, None] != comp_b[None, :])
-        if same:
+        good = apart & sizes & (ones <= most_ones(n_a[:, None].astype(float), n_b[None, :].astype(float), percent))
+        if closest:
+            far = np.where(good, ones, np.uint16(0xFFFF))
+            best = np.zeros_like(good)
+            best[np.arange(len(far)), far.argmin(axis=1)] = True
+            best[far.argmin(axis=0), np.arange(far.shape[1])] = True
+            good &= best
+        elif same:
             good &= np.triu(np.ones(good.shape, dtype=bool), 1)
         i, j = np.nonzero(good)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(id_a[i], id_b[j])), pa.array(np.maximum(id_a[i], id_b[j]))], names=["a", "b"])
@@ -233,15 +252,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = stored(merged(reps.select("id"), components(links)), "components")
 
     # A bucket of up to three members has all its pairs among the stars.
-    members = shared.filter("n > 3").select("bucket", "n", "id").join(first, "id")
-    open_buckets = members.groupBy("bucket").agg(F.min("component_id").alias("c1"), F.max("component_id").alias("c2")).filter("c1 < c2").select("bucket")
-    rest = members.join(open_buckets, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
-    pairs = compared(rest, ["component_id", "n_shingles", "sketch"], block_candidates(percent), "a long, b long").distinct()
-    more = stored(confirmed(stored(pairs, "rest"), sets, percent), "more")
-    side = lambda c: first.select(F.col("id").alias(c), F.col("component_id").alias(f"c_{c}"))
-    joined = components(more.join(side("a"), "a").join(side("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
-    final = first.join(joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), "component_id", "left")
-    final = final.select(F.col("id").alias("rep"), F.coalesce("top", "component_id").alias("component_id"))
+    large = shared.filter("n > 3").select("bucket", "n", "id")
+    for closest in (True, False):
+        members = large.join(first, "id")
+        open_buckets = members.groupBy("bucket").agg(F.min("component_id").alias("c1"), F.max("component_id").alias("c2")).filter("c1 < c2").select("bucket")
+        rest = members.join(open_buckets, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
+        pairs = compared(rest, ["component_id", "n_shingles", "sketch"], block_candidates(percent, closest), "a long, b long").distinct()
+        more = stored(confirmed(stored(pairs, "rest"), sets, percent), "more")
+        side = lambda c: first.select(F.col("id").alias(c), F.col("component_id").alias(f"c_{c}"))  # noqa: E731,B023
+        joined = components(more.join(side("a"), "a").join(side("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
+        found = first.join(joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), "component_id", "left")
+        first = stored(found.select("id", F.coalesce("top", "component_id").alias("component_id")), "components")
+    final = first.withColumnRenamed("id", "rep")
 
     classed = classes.join(final, "rep")
     classed = join_groups(full.select("id", *digest), classed, digest, "copies", total).select("id", "n_shingles", "component_id")
