@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import SPACES, scratch, stored, table
+from siftmill.llm.common import SPACES, join_groups, scratch, stored, table
 
 #: The state lives on disk; without pre-allocation, many small stores take the disk that their rows need.
 STATE_CONF = {
@@ -89,7 +89,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = fingerprints(docs, id_col, text_col, digest)
     prints.write.parquet(path)
     log = spark.read.schema(prints.schema).parquet(path)
-    if log.isEmpty():
+    total = log.count()
+    if not total:
         return spark.createDataFrame([], f"id {dict(docs.dtypes)[id_col]}, keep_id {dict(docs.dtypes)[id_col]}, group_size long, kept boolean, digest string")
     reader = spark.readStream.schema(log.schema)
     reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", batch_bytes)
@@ -97,14 +98,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Hits: every row behind a digest seen more than once, with its whole text. Copies within a task meet before the
     # shuffle, so that a text with a third of all rows costs one row a task.
-    hits = log.join(groups.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    hits = join_groups(log, groups.filter("group_size > 1"), ["digest"], "group_size", total).select("id", "digest", "n_points", "locator")
     norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     norm = norm.withColumn("digest", (digest or (lambda x: F.sha2(x, 256)))(F.col("norm")))
     texts = norm.join(hits.dropDuplicates(["id", "digest"]), ["id", "digest"])
     distinct = texts.groupBy("digest", F.xxhash64("norm").alias("h"), "norm").agg(F.count(F.lit(1)).alias("group_size"), best())
     mixed = stored(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "mixed")
 
-    plain = log.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), "group_size", "digest")
+    plain = join_groups(log, groups, ["digest"], "group_size", total).select("id", F.col("best.id").alias("keep_id"), "group_size", "digest")
     if not mixed.isEmpty():  # one digest, several texts: those groups are formed by the texts themselves
         split = distinct.join(mixed, "digest").select("digest", "norm", F.col("best.id").alias("keep_id"), "group_size")
         exact = texts.select("id", "digest", "norm").join(split, ["digest", "norm"]).select("id", "keep_id", "group_size", "digest")
