@@ -137,7 +137,6 @@ _T = sql_squeezed("title")
 _SENIORITY = f"""CASE WHEN regexp_matches({_T}, '{V.pattern_of(["lead", "head of", "principal"])}') THEN 'Lead' WHEN {V.sql_hit(_T, 'senior')} THEN 'Senior'
   WHEN regexp_matches({_T}, '{V.pattern_of(["mid-level", "intermediate"])}') THEN 'Mid' WHEN regexp_matches({_T}, '{V.pattern_of(["junior", "graduate", "entry"])}') THEN 'Junior'
   WHEN {V.sql_hit(_T, 'internship')} THEN 'Intern' ELSE 'Unspecified' END"""
-_NONE = F.lit(None).cast("string")
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -294,10 +293,6 @@ def single_country_from_text(spark, sf_dir):
     return postings(spark, sf_dir).select("row_id", F.when(F.size(named) == 1, F.try_element_at(named, F.lit(1))).alias("named_country"))
 
 
-def ranked_postings(spark, sf_dir) -> DataFrame:
-    p = postings(spark, sf_dir).filter(F.length("description") < 4000)
-    return p.select(F.col("row_id").alias("id"), T.dedup_title_key(F.col("title")).alias("title_key"), F.col("description").alias("body"), F.lit(1).alias("q1"), F.length("description").alias("q2"), F.lit(1).alias("q3"))
-
 
 @query()
 def dedup_text_greedy_postings(spark, sf_dir):
