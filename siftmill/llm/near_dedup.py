@@ -194,14 +194,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_candidates(percent: int, closest: bool):
-    """Compares two blocks by sketches: pairs of different components that are close enough, or each row's closest of those."""
+    """Compares two blocks by sketches: pairs of different components that are close enough, or each row's closest of those.
+
+    A pair counts in the bucket of the first band that it shares and in no other.
+    """
 
     def compare(left: dict, right: dict, same: bool) -> pa.RecordBatch | None:
         arrays = []
         for side in (left, right):
             sketch = side["sketch"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-            arrays.append((side["id"].to_numpy(), side["component_id"].to_numpy(), side["n_shingles"].to_numpy(), sketch))
-        (id_a, comp_a, n_a, s_a), (id_b, comp_b, n_b, s_b) = arrays
+            bands = side["bands"].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            arrays.append((side["id"].to_numpy(), side["component_id"].to_numpy(), side["n_shingles"].to_numpy(), sketch, bands))
+        (id_a, comp_a, n_a, s_a, k_a), (id_b, comp_b, n_b, s_b, k_b) = arrays
         apart = comp_a[:, None] != comp_b[None, :]
         if not apart.any():
             return None
@@ -210,14 +214,17 @@ def block_candidates(percent: int, closest: bool):
             ones += np.bitwise_count(s_a[:, k, None] ^ s_b[None, :, k])
         sizes = np.minimum(n_a[:, None], n_b[None, :]) * 100 >= np.maximum(n_a[:, None], n_b[None, :]) * percent
         good = apart & sizes & (ones <= most_ones(n_a[:, None].astype(float), n_b[None, :].astype(float), percent))
+        if same:
+            good &= np.triu(np.ones(good.shape, dtype=bool), 1)
+        i, j = np.nonzero(good)
+        shared = k_a[i] == k_b[j]
+        good[i, j] = k_a[i, shared.argmax(axis=1)] == left["bucket"][0].as_py()
         if closest:
             far = np.where(good, ones, np.uint16(0xFFFF))
             best = np.zeros_like(good)
             best[np.arange(len(far)), far.argmin(axis=1)] = True
             best[far.argmin(axis=0), np.arange(far.shape[1])] = True
             good &= best
-        elif same:
-            good &= np.triu(np.ones(good.shape, dtype=bool), 1)
         i, j = np.nonzero(good)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(id_a[i], id_b[j])), pa.array(np.maximum(id_a[i], id_b[j]))], names=["a", "b"])
 
@@ -256,8 +263,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for closest in (True, False):
         members = large.join(first, "id")
         open_buckets = members.groupBy("bucket").agg(F.min("component_id").alias("c1"), F.max("component_id").alias("c2")).filter("c1 < c2").select("bucket")
-        rest = members.join(open_buckets, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
-        pairs = compared(rest, ["component_id", "n_shingles", "sketch"], block_candidates(percent, closest), "a long, b long").distinct()
+        rest = members.join(open_buckets, "bucket").join(reps.select("id", "n_shingles", "sketch", "bands"), "id")
+        pairs = compared(rest, ["bucket", "component_id", "n_shingles", "sketch", "bands"], block_candidates(percent, closest), "a long, b long").distinct()
         more = stored(confirmed(stored(pairs, "rest"), sets, percent), "more")
         side = lambda c: first.select(F.col("id").alias(c), F.col("component_id").alias(f"c_{c}"))  # noqa: E731,B023
         joined = components(more.join(side("a"), "a").join(side("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
