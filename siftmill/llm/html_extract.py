@@ -3,7 +3,7 @@
 A page is cut into leaf blocks, the stretches of text between block-level tags, in page order. Each block is described
 by its ancestors' tags, classes, ids and roles and by its text; a chain of two labels, text of the article or not, is
 decoded by Viterbi. The weights are learned from labelled pages: pages of the corpus whose own mark-up names one article
-(a bounded sample), and layouts without such mark-up that are filled with the sample's paragraphs.
+(a bounded sample), and pages of other layouts that are made of the sample's paragraphs.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,13 +31,15 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "textarea", "noembed", "noframes", "canvas", "audio", "video")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What is never closed runs to the end, so that no part of a page is scanned twice.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW_TAGS)})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>|<[!?][^>]*+>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^>=]++|=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|=)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARKED = re.compile(r"\bdata-label\s*=\s*\"?([01])")
+SECTIONS = frozenset("article aside footer form header main nav section".split())
 NAME_PART = re.compile(r"[a-z]+")
 #: Words of a class or id that tell what a part of a page is for; others are described by themselves only.
 ENDS = re.compile(r"[.!?…]['\"»”)]*$")
@@ -56,10 +58,12 @@ class Block:
 
 @dataclass
 class Level:
+    """An open element: the features of it and all above it, and those of the innermost one that says what it is for."""
+
     tag: str
     features: frozenset
     label: int | None
-    names: frozenset = field(default_factory=frozenset)
+    near: frozenset = frozenset()
 
 
 def opened(tag: str, attributes: str, parent: Level) -> Level:
@@ -68,7 +72,8 @@ def opened(tag: str, attributes: str, parent: Level) -> Level:
         value = next((v for v in values if v), "").lower()
         found |= {f"role:{value}"} if kind.lower() in ("role", "itemprop") else {f"name:{p}" for p in NAME_PART.findall(value)[:8]}
     mark = MARKED.search(attributes) if "data-label" in attributes else None
-    return Level(tag, parent.features | found, int(mark[1]) if mark else parent.label)
+    near = frozenset("near " + f for f in found) if len(found) > 1 or tag in SECTIONS else parent.near
+    return Level(tag, parent.features | found, int(mark[1]) if mark else parent.label, near)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -85,7 +90,7 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join((html.unescape(text) if "&" in text else text).split())
         if text:
             top = stack[-1]
-            out.append(Block(text, min(linked, len(text)), top.features | {f"tag:{top.tag}"}, top.label))
+            out.append(Block(text, min(linked, len(text)), top.features | top.near | {f"tag:{top.tag}"}, top.label))
         linked = 0
 
     def add(text: str) -> None:
@@ -150,28 +155,67 @@ def own_label(b: Block) -> int:
     return int(inside and not apart)
 
 
-#: Layouts of labelled pages. {p} takes a paragraph of an article, {s} a short phrase; data-label marks the article.
-MENU = '<ul class="menu"><li><a href="/a">{s}</a></li><li><a href="/b">{s}</a></li><li><a href="/c">{s}</a></li></ul>'
-LAYOUTS = (
-    f'<body><header class="site-header"><div class="logo">{{s}}</div>{MENU}</header><div id="content" data-label="1"><h1>{{s}}</h1><p>{{p}}</p><p>{{p}}</p><h2>{{s}}</h2><p>{{p}}</p></div><div class="sidebar" data-label="0"><h3>{{s}}</h3><p>{{p}}</p>{MENU}</div><div class="footer">&copy; {{s}}</div></body>',
-    f'<body>{MENU}<div class="cookie-notice"><p>{{p}}</p><button>{{s}}</button></div><main><div class="post-body entry-content" data-label="1"><h1>{{s}}</h1><p>{{p}}</p><ul><li>{{p}}</li><li>{{p}}</li></ul><p>{{p}}</p></div><section id="comments"><h3>Comments</h3><div class="comment"><p>{{p}}</p></div><div class="comment"><p>{{p}}</p></div><form><label>{{s}}</label><button>Reply</button></form></section></main><footer><p>{{p}}</p></footer></body>',
-    f'<body><div class="banner ad"><p>{{p}}</p></div><div class="nav">{MENU}</div><div class="article-text story" data-label="1"><p>{{p}}</p><blockquote>{{p}}</blockquote><div class="advert" data-label="0"><p>{{p}}</p></div><p>{{p}}</p></div><div class="related share" data-label="0">{MENU}</div><div class="newsletter"><p>{{p}}</p><form><input name="m"><button>{{s}}</button></form></div></body>',
-    f'<body><div role="navigation">{MENU}</div><div role="main" data-label="1"><h1>{{s}}</h1><div>{{p}}</div><div>{{p}}</div><table><tr><td>{{p}}</td><td>{{p}}</td></tr></table></div><aside><p>{{p}}</p></aside><div role="contentinfo"><p>{{s}}</p></div></body>',
-    f'<body><header><nav>{MENU}</nav></header><article data-label="1"><h1>{{s}}</h1><p>{{p}}</p><aside class="promo" data-label="0"><p>{{p}}</p></aside><p>{{p}}</p><p>{{s}}</p><footer data-label="0"><p>{{s}}</p></footer></article><section class="comments" data-label="0"><p>{{p}}</p><p>{{p}}</p></section><footer>{{s}}</footer></body>',
-    f'<body><div class="alert notice"><p>{{p}}</p></div><table><tr><td class="left">{MENU}</td><td class="text" data-label="1"><p>{{p}}</p><p>{{p}}</p><p>{{s}}</p></td></tr></table><p class="copyright">&copy; {{s}}</p></body>',
-    f'<body><div>{MENU}</div><div data-label="1"><h1>{{s}}</h1><p>{{p}}</p><p>{{p}}</p><p>{{p}}</p></div><div><a href="/x">{{s}}</a> <a href="/y">{{s}}</a></div><div class="respond"><h3>{{s}}</h3><form><p>{{s}}</p></form></div></body>',
-)
+#: Names that pages give their parts, by what the part is for.
+PARTS = {
+    "menu": (("nav", "div", "ul", "header"), "nav navbar menu navigation breadcrumb breadcrumbs topbar toolbar links".split()),
+    "header": (("header", "div"), "header masthead branding logo tagline top".split()),
+    "footer": (("footer", "div", "p"), "footer copyright colophon legal bottom imprint".split()),
+    "sidebar": (("aside", "div", "section"), "sidebar widget rail secondary aside complementary".split()),
+    "notice": (("div", "section", "aside", "p"), "notice cookie consent gdpr alert popup modal overlay message".split()),
+    "advert": (("div", "section", "aside"), "ad ads advert advertisement sponsored sponsor promo banner".split()),
+    "form": (("form", "div"), "form search newsletter subscribe signup login contact".split()),
+    "comments": (("section", "div", "ol"), "comments comment replies reply respond discussion disqus".split()),
+    "related": (("div", "section", "ul", "aside"), "related recommended more popular trending tags share social".split()),
+}
+MAIN = (("article", "main", "div", "section", "td"), "content article post entry story main body text page".split())
+INSIDE = ("advert", "related", "comments", "form", "notice", "sidebar", "footer", "menu")
+
+
+def made_page(paragraphs: list[str], rng: np.random.Generator) -> str:
+    """A labelled page of random layout: parts around and inside the article, named as pages name theirs or not at all."""
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    text = lambda: html.escape(pick(paragraphs))
+    short = lambda: html.escape(" ".join(pick(paragraphs).split()[: int(rng.integers(1, 7))]))
+
+    def named(tag: str, names: list[str], inner: str, label: int, plain: float = 0.0) -> str:
+        kind = pick(("class", "class", "id"))
+        attribute = "" if rng.random() < plain else f' {kind}="{pick(("", "", "site-", "main-", "block "))}{pick(names)}"'
+        return f'<{tag}{attribute} data-label="{label}">{inner}</{tag}>'
+
+    def part(kind: str) -> str:
+        tags, names = PARTS[kind]
+        tag = pick(tags)
+        if kind in ("menu", "related"):
+            inner = "".join(f'<{pick(("li", "div"))}><a href="/x">{short()}</a>' for _ in range(int(rng.integers(2, 7))))
+        elif kind in ("footer", "header"):
+            inner = pick(("&copy; ", "", "")) + short() + pick(("", f"<p>{text()}</p>"))
+        elif kind == "form":
+            inner = f"<label>{short()}</label><input name=q><button>{short()}</button>" + pick(("", f"<p>{text()}</p>"))
+        elif kind == "comments":
+            inner = f"<h3>{short()}</h3>" + "".join(f'<div class="comment"><p>{text()}</p></div>' for _ in range(int(rng.integers(1, 5))))
+        else:
+            inner = "".join(f"<p>{text()}</p>" for _ in range(int(rng.integers(1, 3)))) + pick(("", f"<button>{short()}</button>"))
+        return named(tag, names, inner, 0, plain=0.3 if tag in ("nav", "footer", "aside", "form", "header") else 0.0)
+
+    blocks_of_text = [f"<h1>{short()}</h1>" if rng.random() < 0.7 else ""]
+    for _ in range(int(rng.integers(2, 8))):
+        blocks_of_text.append(pick((f"<p>{text()}</p>",) * 6 + (f"<h2>{short()}</h2><p>{text()}</p>", f"<ul><li>{text()}</li><li>{short()}</li></ul>", f"<blockquote>{text()}</blockquote>", f"<div>{text()}</div>", f"<p>{short()}</p>")))
+        if rng.random() < 0.25:
+            blocks_of_text.append(part(pick(INSIDE)))
+    if rng.random() < 0.3:
+        blocks_of_text.append(part(pick(("comments", "related", "form"))))
+    tags, names = MAIN
+    tag = pick(tags)
+    body = named(tag, names, "".join(blocks_of_text), 1, plain=0.5 if tag in ("article", "main") else 0.1)
+    before = [part(k) for k in ("header", "menu", "notice", "advert", "form") if rng.random() < 0.5]
+    after = [part(k) for k in ("sidebar", "comments", "related", "form", "advert", "menu", "footer") if rng.random() < 0.45]
+    return f"<body>{''.join(before)}{body}{''.join(after)}</body>"
 
 
 def filled(paragraphs: list[str], pages: int, seed: int = 11) -> list[str]:
-    """Labelled pages: the layouts in turn, filled with the given paragraphs and with short phrases from them."""
+    """Labelled pages made of the given paragraphs."""
     rng = np.random.default_rng(seed)
-    out = []
-    for k in range(pages if paragraphs else 0):
-        draw = lambda _: html.escape(paragraphs[rng.integers(len(paragraphs))])
-        short = lambda _: html.escape(" ".join(paragraphs[rng.integers(len(paragraphs))].split()[: rng.integers(1, 7)]))
-        out.append(re.sub(r"\{s\}", short, re.sub(r"\{p\}", draw, LAYOUTS[k % len(LAYOUTS)])))
-    return out
+    return [made_page(paragraphs, rng) for _ in range(pages if paragraphs else 0)]
 
 
 @dataclass
@@ -198,14 +242,14 @@ class PageModel:
         return ["\n\n".join([b.text for b in f if next(labels)]) for f in found]
 
 
-def fit(pages: list[str], made: int = 280, least_seen: int = 2) -> PageModel:
+def fit(pages: list[str], made: int = 400, least_seen: int = 2) -> PageModel:
     """A model from pages of the corpus that have one article, and from as many made pages as given."""
     labelled = []
     for page in pages:
         found = blocks(page)
         if len(re.findall(r"<(?:article|main)\b", page, re.I)) == 1 and found:
             labelled.append((found, [own_label(b) for b in found]))
-    paragraphs = [b.text for found, gold in labelled for b, y in zip(found, gold, strict=True) if y and len(b.text) > 40] or [LAYOUTS[0]]
+    paragraphs = [b.text for found, gold in labelled for b, y in zip(found, gold, strict=True) if y and len(b.text) > 40] or ["No page of the sample has an article."]
     for page in filled(sorted(set(paragraphs)), made):
         found = blocks(page)
         labelled.append((found, [b.label or 0 for b in found]))
