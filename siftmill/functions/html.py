@@ -64,7 +64,7 @@ def readable(page: str | None) -> str:
         return ""
     plain = plain_text(page)
     posting = posting_of(page) if "ld+json" in page else None
-    told = " ".join(unescape(re.sub(r"<[^<]+?>", " ", str((posting or {}).get("description") or ""))).split())
+    told = " ".join(re.sub(r"<[^<]+?>", " ", unescape(str((posting or {}).get("description") or ""))).split())
     return told if len(told) >= 200 and (len(plain) < 300 or 2 * len(told) >= len(plain)) else plain
 
 
