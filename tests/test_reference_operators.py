@@ -311,3 +311,27 @@ def test_registered_queries_have_stable_columns(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_module_dedup_matches_brute_force(spark):
+    from siftmill.functions.similarity import ratio, token_set
+    from siftmill.operators.survivorship import module_dedup
+
+    rng = random.Random(6)
+    titles = ["Thesis on data in large and old systems", "thesis: data on large and old systems in", "Thesis Robotics", "Robotics thesis!", "", None]
+    bodies = ["alpha beta gamma delta", "alpha beta gamma delta epsilon zeta", "one two three", "one two four five", None]
+    data = [(k, rng.choice(titles), rng.choice(bodies), 1, rng.randint(0, 3), 1) for k in range(50)]
+    key = lambda t: " ".join(sorted(w for w in __import__("re").split("[^a-z0-9]+", (t or "").lower()) if w))
+    kept = []
+    for row in sorted(data, key=lambda r: (-r[3], -r[4], -r[5], r[0])):
+
+        def like(o, r=row):
+            a, b = key(o[1]), key(r[1])
+            if not (a and b and o[2] and r[2]) or ratio(a, b) < 90:
+                return False
+            return o[2] == r[2] or token_set(o[2], r[2]) >= (75 if min(len(a.split()), len(b.split())) >= 6 else 85)
+
+        if not any(like(o) for o in kept):
+            kept.append(row)
+    df = spark.createDataFrame(data, "id int, title string, body string, q1 int, q2 int, q3 int")
+    assert sorted(r["id"] for r in module_dedup(df).collect()) == sorted(r[0] for r in kept)
