@@ -29,11 +29,11 @@ SAMPLES = BANDS * ROWS
 KEPT, SKETCH_BITS = 1024, 1024
 #: Pairs are sifted out where their sketches differ by so many deviations more than at the similarity that links.
 DEVIATIONS = 6.0
-SHINGLE = 4
+SHINGLE = 5
 _draw = np.random.default_rng(20240521)
 _MULTIPLY = (_draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _ADD = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
-_POWERS = (_draw.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_POWERS = (_draw.integers(0, 1 << 63, 32, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ROW_POWERS = (_draw.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -131,7 +131,7 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), flat)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """id, n_shingles, a 128-bit digest of the set, its band keys and its odd sketch; docs has id (long) and text."""
     small_batches(docs.sparkSession)
     schema = "id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch array<long>"
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             for part in portions(texts, lambda t: len(t or "")):
-                sets = shingle_sets(texts[part])
+                sets = shingle_sets(texts[part], width)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = [s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets]
                 samples = samples_of(full)
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """id and its full shingle set."""
     small_batches(docs.sparkSession)
 
@@ -163,7 +163,7 @@ def set_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             for part in portions(texts, lambda t: len(t or "")):
-                sets = [s.view(np.int64) for s in shingle_sets(texts[part])]
+                sets = [s.view(np.int64) for s in shingle_sets(texts[part], width)]
                 offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], lists], names=["id", "shingles"])
@@ -231,16 +231,18 @@ def block_candidates(percent: int, closest: bool):
     return compare
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
+    A shingle is ``width`` words, up to 32.
+
     Documents are linked when ``100 * shared >= percent * union`` holds for their sets of shingles; component_id is the
     smallest id reachable. Null, empty and blank texts have no shingles, are linked with nothing and stay. Repeated ids
     count as copies. Other columns are not touched; an empty table gives no rows. MinHash misses a link of exactly 0.8
     that nothing else connects with a probability of about 1e-7.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_sigs = stored(signatures(docs), "signatures")
+    all_sigs = stored(signatures(docs, width), "signatures")
     digest = ["digest_a", "digest_b", "n_shingles"]
     full = all_sigs.filter("n_shingles > 0")
     total = full.count()
@@ -251,7 +253,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = in_bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
     shared = stored(join_groups(in_bands, stored(buckets, "bands"), ["bucket"], "n", BANDS * total), "buckets")
     wanted = shared.select("id").distinct()
-    sets = stored(set_table(docs.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "sets")
+    sets = stored(set_table(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
 
     ends = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b"))))
     stars = shared.select(ends.alias("p")).select("p.a", "p.b").filter("a < b").distinct()
@@ -280,7 +282,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest document that it is linked with."""
-    return near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_dedup(table(spark, sf_dir, "documents"), width=4).withColumnRenamed("id", "doc_id")
 
 
 ORACLE = """

@@ -108,13 +108,13 @@ def test_quality_does_not_learn_from_held_out_labels_and_bears_few(spark):
     assert fit(x, np.ones(2)).score(x)[0] > 0.5
 
 
-def shingles(text):
+def shingles(text, width=4):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} if len(words) > 3 else {tuple(words)} - {()}
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
 
 
-def near_by_force(texts):
-    sets, comp = [shingles(t) for t in texts], list(range(len(texts)))
+def near_by_force(texts, width=4):
+    sets, comp = [shingles(t, width) for t in texts], list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
@@ -138,8 +138,9 @@ def test_near_dedup_matches_brute_force(spark):
     from siftmill.llm.near_dedup import near_dedup
 
     texts = [*odd_texts(), *drifting(), *odd_texts()[:12]]
-    got = near_dedup(documents(spark, texts).repartition(4))
-    assert rows(got, "id", "n_shingles", "component_id", "kept") == near_by_force(texts)
+    for width in (4, 5):
+        got = near_dedup(documents(spark, texts).repartition(4), width=width)
+        assert rows(got, "id", "n_shingles", "component_id", "kept") == near_by_force(texts, width)
 
 
 def test_near_dedup_no_rows_and_no_words(spark):
@@ -419,7 +420,7 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     norm = exact["text"].fillna("").str.replace(r"[\x20\x09-\x0d]", "", regex=True)
     assert norm.is_unique and set(norm) == set(quality["text"].fillna("").str.replace(r"[\x20\x09-\x0d]", "", regex=True))
     ordered = exact.sort_values("doc_id")
-    force = near_by_force(ordered["text"].tolist())
+    force = near_by_force(ordered["text"].tolist(), 5)
     assert sorted(near["doc_id"]) == [d for d, f in zip(ordered["doc_id"], force, strict=True) if f[3]]
     assert set(mix["doc_id"]) <= set(near["doc_id"]) and mix["doc_id"].value_counts().to_dict() == pack[pack["start"] == 0]["doc_id"].value_counts().to_dict()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pack)
