@@ -13,19 +13,25 @@ from siftmill.llm.common import small_batches
 BLOCK = 256
 
 
-def compared(members: DataFrame, columns: list[str], compare: Callable, schema: str, block: int = BLOCK, blocks_at_once: int = 8) -> DataFrame:
+def compared(members: DataFrame, columns: list[str], compare: Callable, schema: str, block: int = BLOCK, blocks_at_once: int = 8, stripe: int | None = None) -> DataFrame:
     """Calls ``compare(left, right, same)`` for every pair of blocks of a bucket and returns the rows it yields.
 
     ``members`` has bucket, n (the bucket's rows), id and ``columns``. A bucket is dealt by a hash of the id into blocks
     of about ``block`` rows; two blocks of one bucket meet in a row of a join, so that no task holds a bucket. Left and
     right are dicts of Python lists; ``same`` tells that a block meets itself. compare returns an Arrow record batch.
+    With ``stripe``, so many left blocks of a bucket at most meet the right ones in one task.
     """
     small_batches(members.sparkSession, blocks_at_once)
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).alias("part")
     packed = members.select("bucket", part, F.struct("id", *columns).alias("m")).groupBy("bucket", "part").agg(F.collect_list("m").alias("m"))
     left = packed.select("bucket", F.col("part").alias("i"), F.col("m").alias("left"))
     right = packed.select("bucket", F.col("part").alias("j"), F.col("m").alias("right"))
-    pairs = left.join(right, "bucket").filter("i <= j")
+    on = ["bucket"]
+    if stripe:
+        on.append("stripe")
+        left = left.withColumn("stripe", F.floor(F.col("i") / stripe))
+        right = right.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("j") / stripe))))
+    pairs = left.join(right, on).filter("i <= j")
     names = ["id", *columns]
     unpacked = pairs.select((F.col("i") == F.col("j")).alias("same"), *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("left", "right") for c in names])
 

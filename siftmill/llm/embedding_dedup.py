@@ -1,8 +1,9 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Every vector is described by its nearest reference points, the pivots, in order of nearness. Each pivot has inverted
-lists, one for each label, of the vectors that name it. Vectors that meet in a list and share enough pivots are
-verified by their cosine. Lists are compared block against block, a pair counts in the list of its least shared pivot
+Every vector is described by its nearest reference points, the pivots, in order of nearness. Pivots are a sample in
+which no two are near each other: a group of near copies, whatever its share of the rows, has about one, which all its
+members name, so that they do not part by their own noise. Each pivot has inverted lists, one for each label, of the
+vectors that name it. Vectors that meet in a list and share enough pivots are verified by their cosine. Lists are compared block against block, a pair counts in the list of its least shared pivot
 only, and what leaves a block are counts and the links of a spanning forest: no list is expanded into its pairs.
 """
 
@@ -22,6 +23,11 @@ from siftmill.llm.components import components
 NAMED = 10
 LEAST_SHARED = 2
 MOST_PIVOTS = 4096
+#: So many sampled vectors are looked at for each pivot.
+SAMPLED = 4
+BLOCK = 512
+#: Cosines by a matrix product are summed anew where they are this close to the least one.
+CLOSE = 1e-9
 
 
 def n_pivots(n: int) -> int:
@@ -35,6 +41,24 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def spread(sample: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """The first rows of length 1, at most ``most``, of which no two are within twice the angle of a link."""
+    least = max(2 * cosine * cosine - 1, 0.5) if cosine > 0 else 0.5
+    chosen = np.zeros((0, sample.shape[1]))
+    for start in range(0, len(sample), 256):
+        rows = sample[start : start + 256]
+        rows = rows[~np.any(rows @ chosen.T >= least, axis=1)]
+        near = rows @ rows.T >= least
+        new: list[int] = []
+        for k in range(len(rows)):
+            if not near[k, new].any():
+                new.append(k)
+        chosen = np.vstack([chosen, rows[new]])
+        if len(chosen) >= most:
+            break
+    return chosen[:most]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows that can be linked: a label, and a vector of finite components that are not all zero."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -65,24 +89,24 @@ def described(classes: DataFrame, pivots: np.ndarray, named: int = NAMED) -> Dat
     return classes.mapInArrow(run, "id long, label string, v array<double>, copies long, named array<int>")
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> tuple[list, list]:
-    """Links of a spanning forest of the given links of ids."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    a, b = [], []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            a.append(x)
-            b.append(y)
-    return a, b
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the given links of numbers below ``n``: each part joins its least neighbour."""
+    label = np.arange(n)
+    a, b = [i[:0]], [j[:0]]
+    while len(i):
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        _, first = np.unique(high * n + low, return_index=True)
+        first = first[np.unique(high[first], return_index=True)[1]]
+        a.append(i[first])
+        b.append(j[first])
+        parent = np.arange(n)
+        parent[high[first]] = low[first]
+        while np.any(parent[parent] != parent):
+            parent = parent[parent]
+        label = parent[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def block_links(least_cosine: float, least_shared: int):
@@ -99,22 +123,26 @@ def block_links(least_cosine: float, least_shared: int):
         for bits, p in zip(names, (p_a, p_b), strict=True):
             np.put_along_axis(bits, np.searchsorted(numbers, p), 1, axis=1)
         good = names[0] @ names[1].T >= least_shared
+        before = int(np.searchsorted(numbers, pivot))  # a pair that shares a lesser pivot counts in that one's list
+        if before:
+            good &= names[0][:, :before] @ names[1][:, :before].T == 0
         if same:
             good &= np.triu(np.ones(good.shape, dtype=bool), 1)
-        i, j = np.nonzero(good)
-        keep = (v_a[i] * v_b[j]).sum(axis=1) >= least_cosine
+        if not good.any():
+            return None
+        cosines = v_a @ v_b.T
+        i, j = np.nonzero(good & (cosines >= least_cosine - CLOSE))
+        keep = cosines[i, j] >= least_cosine + CLOSE
+        close = np.flatnonzero(~keep)
+        keep[close] = (v_a[i[close]] * v_b[j[close]]).sum(axis=1) >= least_cosine
         i, j = i[keep], j[keep]
-        both = (names[0][i] * names[1][j]) > 0
-        first = numbers[both.argmax(axis=1)] == pivot if len(i) else np.zeros(0, dtype=bool)
-        i, j = i[first], j[first]
-        a, b = forest(id_a[i], id_b[j])
-        ids = np.r_[id_a[i], id_b[j]]
-        links = np.r_[n_b[j], n_a[i]]
-        own, at = np.unique(ids, return_inverse=True)
-        counts = np.bincount(at, weights=links, minlength=len(own)).astype(np.int64)
+        links = np.r_[np.bincount(i, weights=n_b[j], minlength=len(id_a)), np.bincount(j, weights=n_a[i], minlength=len(id_b))].astype(np.int64)
+        ids = np.r_[id_a, id_b]
+        a, b = forest(i, j if same else j + len(id_a), len(ids))
+        own = np.flatnonzero(links)
         nothing = [None] * len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array([*own.tolist(), *nothing], pa.int64()), pa.array([*counts.tolist(), *nothing], pa.int64()), pa.array([None] * len(own) + a, pa.int64()), pa.array([None] * len(own) + b, pa.int64())],
+            [pa.array([*ids[own].tolist(), *nothing], pa.int64()), pa.array([*links[own].tolist(), *nothing], pa.int64()), pa.array([None] * len(own) + ids[a].tolist(), pa.int64()), pa.array([None] * len(own) + ids[b].tolist(), pa.int64())],
             names=["id", "links", "a", "b"],
         )
 
@@ -127,25 +155,27 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors are linked when their labels are equal and not null, their lengths are equal and their cosine in double
     precision reaches ``cosine``. Null vectors, zero vectors and vectors with null or non-finite components are linked
     with nothing and stay. Identical vectors are one class, compared once and counted as often as they occur. Ids must
-    be unique; other columns are not touched; an empty table gives no rows. The pivots are a bounded sample, every
-    vector is indexed.
+    be unique; other columns are not touched; an empty table gives no rows. The pivots come from a bounded sample,
+    every vector is indexed; of a group of near copies all pairs are compared, as all of them count.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     good = usable(rows)
     classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "label", "v", "copies"), "classes")
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").select("v").limit(n_pivots(classes.count())).collect()]
+    most = n_pivots(classes.count())
+    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLED * most).collect()]
     if not sample:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     pivots = np.zeros((len(sample), max(map(len, sample))))
     for k, v in enumerate(sample):
         pivots[k, : len(v)] = v
-    index = stored(described(classes, unit(pivots)), "index")
+    pivots = spread(unit(pivots), most, cosine)
+    index = stored(described(classes, pivots), "index")
 
     lists = index.select("id", F.explode("named").alias("pivot"), F.xxhash64("label", F.size("v"), "pivot").alias("bucket"))
     sizes = lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = lists.join(sizes, "bucket").join(index.select("id", "v", "copies", "named"), "id")
-    found = stored(compared(members, ["v", "copies", "named", "pivot"], block_links(cosine, min(LEAST_SHARED, len(sample))), "id long, links long, a long, b long"), "links")
+    found = stored(compared(members, ["v", "copies", "named", "pivot"], block_links(cosine, min(LEAST_SHARED, len(pivots))), "id long, links long, a long, b long", block=BLOCK, stripe=16), "links")
 
     counts = found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.filter("a IS NOT NULL").select("a", "b"))

@@ -302,6 +302,28 @@ def test_embedding_dedup_matches_brute_force(spark):
     assert embedding_dedup(empty).count() == 0
 
 
+def test_embedding_dedup_finds_the_links_of_a_hot_group(spark):
+    from siftmill.llm.embedding_dedup import embedding_dedup
+
+    rng = np.random.default_rng(7)
+    n, hot = 10_000, 3333
+    centre = rng.normal(size=64)
+    v = rng.normal(size=(n, 64))
+    v[:hot] = centre + v[:hot] * np.sqrt(1 / 0.94 - 1) * np.sqrt(centre @ centre / 64)
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    order = rng.permutation(n)
+    v = v[order]
+    linked = v @ v.T >= 0.93
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "label": 1}), "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup(table).toPandas().sort_values("id")
+    links = out["n_links"].to_numpy()
+    assert np.all(links <= linked.sum(axis=1))
+    assert links.sum() >= 0.99 * linked.sum() > 0
+    first = np.flatnonzero(order < hot).min()
+    assert np.all(out["component_id"].to_numpy()[(order < hot) & (links > 0)] == first)
+
+
 MENU = '<ul class="menu"><li><a href="/a">{s}</a></li><li><a href="/b">{s}</a></li><li><a href="/c">{s}</a></li></ul>'
 LAYOUTS = (
     f'<body><header class="site-header"><div class="logo">{{s}}</div>{MENU}</header><div id="content" data-label="1"><h1>{{s}}</h1><p>{{p}}</p><p>{{p}}</p><h2>{{s}}</h2><p>{{p}}</p></div><div class="sidebar" data-label="0"><h3>{{s}}</h3><p>{{p}}</p>{MENU}</div><div class="footer">&copy; {{s}}</div></body>',
