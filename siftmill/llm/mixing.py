@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import join_groups, table
+from siftmill.llm.common import join_groups, stored, table
 
 #: Larger means are drawn as sums of parts, each of a mean up to this, where all but 2**-80 of the mass lies below TERMS.
 PART = 16.0
@@ -66,9 +66,14 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, other: float
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repetition of every document in a mixture that gives each source the same weight."""
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return out.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("n_copies").cast("long").alias("n_copies"), F.col("copy_no").cast("long").alias("copy_no"), "place")
+    """Every repetition of every document in a mixture that gives each source the same weight.
+
+    The mixture itself, whole documents repeated and in order, is written to the shared folder; its rows are returned
+    without their texts, in its order.
+    """
+    out = stored(mixed(table(spark, sf_dir, "documents")), "mixture")
+    out = out.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("n_copies").cast("long").alias("n_copies"), F.col("copy_no").cast("long").alias("copy_no"), "place")
+    return out.repartitionByRange("place").sortWithinPartitions("place")
 
 
 ORACLE = """

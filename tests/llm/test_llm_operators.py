@@ -189,6 +189,25 @@ def test_mixing_reaches_the_weights_and_repeats_itself(spark):
     assert mixed(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_mixing_query_repeats_and_shuffles_whole_documents(spark, tmp_path):
+    import glob
+
+    from siftmill.llm.common import scratch
+    from siftmill.llm.mixing import op5_mixing
+
+    docs = documents(spark, [f"text {k} " * (400 if k % 50 == 0 else 3) for k in range(300)], sources={k: "small" if k % 50 == 0 else "big" for k in range(300)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    folder = scratch(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(glob.glob(f"{folder}/mixture-*"))
+    out = op5_mixing(spark, str(tmp_path)).collect()
+    (made,) = set(glob.glob(f"{folder}/mixture-*")) - before
+    whole = spark.read.parquet(made)
+    assert set(docs.columns) <= set(whole.columns)
+    assert rows(whole, "doc_id", "copy_no", "place") == sorted((r["doc_id"], r["copy_no"], r["place"]) for r in out)
+    assert [r["place"] for r in out] == sorted(r["place"] for r in out)
+    assert whole.join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").filter("text = t").count() == len(out) > 0
+
+
 def test_mixing_draws_the_poisson_distribution(spark):
     from siftmill.llm.mixing import mixed
 
