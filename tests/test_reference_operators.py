@@ -132,6 +132,24 @@ def test_similar_strings_loses_no_pair(spark):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 30
 
 
+def test_fuzzy_register_loses_no_name(spark):
+    from siftmill.functions.similarity import block_ratio, matching_blocks
+    from siftmill.operators.joins import fuzzy_register
+
+    rng = random.Random(8)
+    legal = sorted({"".join(rng.choice("abcdef ") for _ in range(rng.randint(18, 34))).strip() for _ in range(40)})
+    names = {f"{x[0]}#{x[2:-2]}#{x[-1]}" for x in legal}  # a letter near each end is another
+    for x in legal:
+        k = rng.randrange(len(x))
+        names |= {x[:k] + x[k + 1 :], x[:k] + "z" + x[k:], "y" + x[1:-1] + "y"}
+    names |= {"", "a", legal[0], "northern widgets and tools ltd"}
+    best = lambda n: max((matching_blocks(n, x) if n != x else 1.0, x) for x in legal)
+    want = sorted((n, best(n)[1], round(best(n)[0], 9)) for n in names if best(n)[0] >= 0.9)
+    out = fuzzy_register(spark.createDataFrame([(n,) for n in sorted(names)], "name string"), spark.createDataFrame([(x,) for x in legal], "legal string"), "name", "legal", block_ratio, 0.90)
+    assert sorted((r["name"], r["legal"], round(r["similarity"], 9)) for r in out.collect()) == want
+    assert sum("#" in n for n, *_ in want) == len([x for x in legal if 2 * (len(x) - 2) / (2 * len(x)) >= 0.9])
+
+
 def test_greedy_equals_the_sequential_walk(spark):
     from siftmill.operators.survivorship import greedy
 
