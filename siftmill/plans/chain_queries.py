@@ -11,12 +11,12 @@ from siftmill.functions import text as T
 from siftmill.functions import vocabulary as V
 from siftmill.functions.dates import posted_at
 from siftmill.operators.links import proposed_globs
-from siftmill.operators.survivorship import module_dedup, scratch_path
+from siftmill.operators.survivorship import module_dedup
 from siftmill.plans.adapters import POSTINGS, postings, sql_squeezed
 from siftmill.plans.chains import Choices, accounting, module_reason, screened
 from siftmill.sources.normalise import SOURCES, normalised
 from siftmill.streaming.ingest import arrivals, collect_into, first_of_each
-from siftmill.tables import table
+from siftmill.tables import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
