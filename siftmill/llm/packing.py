@@ -14,19 +14,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import SPACES, small_batches, stored, table
+from siftmill.llm.common import SPACES, stored, table
 from siftmill.llm.token_counts import VOCABULARY, token_counter
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
-#: A source with more than this share of a shard cannot be kept apart without leaving bins empty: it may repeat in one.
-FREE_SHARE = 0.125
 
 
-def bits_of(values: pd.Series, least: int, most: float) -> list[int]:
-    """A bit for every value that occurs at least and at most so often; other values, and nulls, cannot conflict: 0."""
+def bits_of(values: pd.Series) -> list[int]:
+    """A bit for every value that occurs more than once; other values, and nulls, cannot conflict: 0."""
     counts = values.value_counts()
-    number = {v: 1 << k for k, v in enumerate(sorted(counts.index[(counts >= least) & (counts <= most)]))}
+    number = {v: 1 << k for k, v in enumerate(sorted(counts.index[counts > 1]))}
     return [number.get(v, 0) for v in values]
 
 
@@ -65,12 +63,12 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return bins, offsets
 
 
-def packed(docs: DataFrame, n_tokens, cluster, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, free_share: float = FREE_SHARE, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def packed(docs: DataFrame, n_tokens, cluster, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """One row per piece of a document: doc_id, source, piece, start, n_tokens, bin_id, bin_offset.
 
     ``n_tokens`` and ``cluster`` are columns: a row's length, and the cluster of duplicates of which a bin takes one
-    row. Of a source a bin takes one row too, unless the source has over ``free_share`` of the shard's rows. Null
-    clusters and null sources never conflict. Rows of no tokens need no room: one piece, no bin. Repeated rows are
+    row. Of a source a bin takes one row too, however large the source: where it leaves no compatible bin, one is
+    opened. Null clusters and null sources never conflict. Rows of no tokens need no room: one piece, no bin. Repeated rows are
     packed each. ``start`` is the piece's first token in its document, ``bin_offset`` its place in the bin. Other
     columns are not carried; no rows give no rows.
     """
@@ -80,12 +78,10 @@ def packed(docs: DataFrame, n_tokens, cluster, capacity: int = CAPACITY, shard_r
     tails = rows.withColumns({"piece": F.floor(F.col("total") / capacity), "start": F.col("total") - F.col("total") % capacity, "n_tokens": F.col("total") % capacity})
     to_pack = tails.filter("n_tokens > 0")
     shards = max(1, -(-to_pack.count() // shard_rows))
-    small_batches(docs.sparkSession, 4096)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "row_no"], ascending=[False, True], kind="stable", ignore_index=True)
-        sources = bits_of(group["source"], 2, free_share * len(group))
-        clusters = bits_of(group["cluster"], 2, float("inf"))
+        sources, clusters = bits_of(group["source"]), bits_of(group["cluster"])
         bins, offsets = best_fit(group["n_tokens"].tolist(), sources, clusters, capacity)
         group["bin_id"] = [f"{s}-{b}" for s, b in zip(group["shard"], bins, strict=True)]
         group["bin_offset"] = offsets
@@ -101,7 +97,6 @@ def packed(docs: DataFrame, n_tokens, cluster, capacity: int = CAPACITY, shard_r
 
 def packed_texts(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, source, text) packed by their tokens; copies of a text without white space are a cluster."""
-    small_batches(docs.sparkSession)
     cluster = F.xxhash64(F.translate(F.coalesce("text", F.lit("")), SPACES, ""))
     return packed(docs, token_counter(public_tokenizers.path(VOCABULARY))(F.col("text")), cluster)
 
