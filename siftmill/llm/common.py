@@ -1,41 +1,25 @@
-"""What the operators of this subpackage share: tables, the shared scratch folder, batches of bounded size."""
+"""What the operators of this subpackage share. Python functions take Arrow batches, which Spark bounds at 64 MB."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The white space of the contracts, [\x20\x09-\x0D].
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from siftmill.tables import scratch_path as scratch
+from siftmill.tables import stored, table
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share (spark.checkpoint.dir; set here only where unset)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACES", "free_name", "held_out", "join_groups", "join_small", "scratch", "stored", "table"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The white space of the contracts, [\x20\x09-\x0D].
+SPACES = " \t\n\x0b\x0c\r"
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of at most so many rows, so that a Python worker holds few whole texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def held_out(id_col: str = "doc_id"):
@@ -54,3 +38,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     with_large = rows.join(F.broadcast(large), keys)
     with_small = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys)
     return with_large.unionByName(with_small)
+
+
+def join_small(rows: DataFrame, few: DataFrame, keys: list[str], how: str, most: int = 500_000) -> DataFrame:
+    """``rows`` joined to narrow rows that are mostly few: broadcast where they are counted to be at most ``most``, so that
+    ``rows`` need not move, else shuffled. ``few`` is a stored table."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few, keys, how)

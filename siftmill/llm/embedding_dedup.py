@@ -3,8 +3,13 @@
 Every vector is described by its nearest reference points, the pivots, in order of nearness. Pivots are a sample in
 which no two are near each other: a group of near copies, whatever its share of the rows, has about one, which all its
 members name, so that they do not part by their own noise. Each pivot has inverted lists, one for each label, of the
-vectors that name it. Vectors that meet in a list and share enough pivots are verified by their cosine. Lists are compared block against block, a pair counts in the list of its least shared pivot
-only, and what leaves a block are counts and the links of a spanning forest: no list is expanded into its pairs.
+vectors that name it. Vectors that meet in a list and share enough pivots are verified by their cosine. Lists are
+compared block against block, a pair counts in the list of its least shared pivot only, and what leaves a block are
+counts and the links of a spanning forest: no list is expanded into its pairs.
+
+What the index finds is then measured: a bounded sample of vectors is held against all rows. Labels in which it has
+missed links of these, as it does where the vectors have hardly more in common than any two of their label, are compared
+exactly, all blocks of the label with all.
 """
 
 from __future__ import annotations
@@ -17,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm.blocks import compared
-from siftmill.llm.common import join_groups, small_batches, stored, table
+from siftmill.llm.common import join_groups, stored, table
 from siftmill.llm.components import components
 
 NAMED = 10
 LEAST_SHARED = 2
-MOST_PIVOTS = 4096
+MOST_PIVOTS = 16_384
 #: So many sampled vectors are looked at for each pivot.
 SAMPLED = 4
+#: So many vectors are held against all others of their label to measure the index.
+QUERIES = 2_048
 BLOCK = 512
 #: Cosines by a matrix product are summed anew where they are this close to the least one.
 CLOSE = 1e-9
@@ -65,20 +72,28 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("label").isNotNull() & F.col("v").isNotNull()).filter(~bad & F.exists("v", lambda x: x != 0))
 
 
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def matrix(v: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as rows of so many columns, cut or filled with zeros, and their lengths."""
+    rows = np.zeros((len(v), width))
+    sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(v)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    fits = place < width
+    rows[owner[fits], place[fits]] = v.flatten().to_numpy(zero_copy_only=False)[fits]
+    return rows, sizes
+
+
 def described(classes: DataFrame, pivots: np.ndarray, named: int = NAMED) -> DataFrame:
     """``classes`` (id, label, v, copies) with the numbers of the nearest pivots, nearest first."""
-    small_batches(classes.sparkSession, 1024)
     width, named = pivots.shape[1], min(named, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column("v")
-            rows = np.zeros((len(v), width))
-            sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(v)), sizes)
-            place = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            fits = place < width
-            rows[owner[fits], place[fits]] = v.flatten().to_numpy(zero_copy_only=False)[fits]
+        for batch in (part for whole in batches for part in slices(whole, 1024)):
+            rows, _ = matrix(batch.column("v"), width)
             near = np.where(np.any(rows, axis=1)[:, None], rows, 1.0)
             near = unit(near) @ pivots.T
             top = np.argpartition(-near, named - 1, axis=1)[:, :named]
@@ -109,33 +124,45 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
+def linked(v_a: np.ndarray, v_b: np.ndarray, least_cosine: float, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows of length 1 with at least that cosine, of the good ones."""
+    cosines = v_a @ v_b.T
+    near = cosines >= least_cosine - CLOSE
+    i, j = np.nonzero(near if good is None else near & good)
+    keep = cosines[i, j] >= least_cosine + CLOSE
+    close = np.flatnonzero(~keep)
+    keep[close] = (v_a[i[close]] * v_b[j[close]]).sum(axis=1) >= least_cosine
+    return i[keep], j[keep]
+
+
 def block_links(least_cosine: float, least_shared: int):
-    """Compares two blocks of a list: for each vector its links found here, and the links of a spanning forest."""
+    """Compares two blocks of a list: for each vector its links found here, and the links of a spanning forest.
+
+    With ``least_shared`` of 0 the blocks are those of a whole label, and all pairs of them count.
+    """
 
     def compare(left: dict, right: dict, same: bool) -> pa.RecordBatch | None:
         sides = []
         for s in (left, right):
             n = len(s["id"])
-            sides.append((s["id"].to_numpy(), s["copies"].to_numpy(), unit(s["v"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1)), s["named"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1), s["pivot"][0].as_py()))
-        (id_a, n_a, v_a, p_a, pivot), (id_b, n_b, v_b, p_b, _) = sides
-        numbers = np.unique(np.concatenate([p_a.reshape(-1), p_b.reshape(-1)]))
-        names = [np.zeros((len(p), len(numbers)), dtype=np.float32) for p in (p_a, p_b)]
-        for bits, p in zip(names, (p_a, p_b), strict=True):
-            np.put_along_axis(bits, np.searchsorted(numbers, p), 1, axis=1)
-        good = names[0] @ names[1].T >= least_shared
-        before = int(np.searchsorted(numbers, pivot))  # a pair that shares a lesser pivot counts in that one's list
-        if before:
-            good &= names[0][:, :before] @ names[1][:, :before].T == 0
+            sides.append((s["id"].to_numpy(), s["copies"].to_numpy(), unit(s["v"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1))))
+        (id_a, n_a, v_a), (id_b, n_b, v_b) = sides
+        good = np.ones((len(id_a), len(id_b)), dtype=bool)
+        if least_shared:
+            p_a, p_b = (s["named"].flatten().to_numpy(zero_copy_only=False).reshape(len(s["id"]), -1) for s in (left, right))
+            numbers = np.unique(np.concatenate([p_a.reshape(-1), p_b.reshape(-1)]))
+            names = [np.zeros((len(p), len(numbers)), dtype=np.float32) for p in (p_a, p_b)]
+            for bits, p in zip(names, (p_a, p_b), strict=True):
+                np.put_along_axis(bits, np.searchsorted(numbers, p), 1, axis=1)
+            good = names[0] @ names[1].T >= least_shared
+            before = int(np.searchsorted(numbers, left["pivot"][0].as_py()))  # a pair that shares a lesser pivot counts in that one's list
+            if before:
+                good &= names[0][:, :before] @ names[1][:, :before].T == 0
         if same:
             good &= np.triu(np.ones(good.shape, dtype=bool), 1)
         if not good.any():
             return None
-        cosines = v_a @ v_b.T
-        i, j = np.nonzero(good & (cosines >= least_cosine - CLOSE))
-        keep = cosines[i, j] >= least_cosine + CLOSE
-        close = np.flatnonzero(~keep)
-        keep[close] = (v_a[i[close]] * v_b[j[close]]).sum(axis=1) >= least_cosine
-        i, j = i[keep], j[keep]
+        i, j = linked(v_a, v_b, least_cosine, good)
         links = np.r_[np.bincount(i, weights=n_b[j], minlength=len(id_a)), np.bincount(j, weights=n_a[i], minlength=len(id_b))].astype(np.int64)
         ids = np.r_[id_a, id_b]
         a, b = forest(i, j if same else j + len(id_a), len(ids))
@@ -149,42 +176,96 @@ def block_links(least_cosine: float, least_shared: int):
     return compare
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93) -> DataFrame:
+def by_hash(classes: DataFrame, salt: int, most: int) -> pa.Table:
+    """At most so many of the classes, the first by a hash of the id, brought to the driver."""
+    return classes.orderBy(F.xxhash64("id", F.lit(salt)), "id").select("id", "label", "v").limit(most).toArrow().combine_chunks()
+
+
+def rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    v = table["v"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    return matrix(v, int(max(v.value_lengths().to_pylist(), default=0)))
+
+
+def missed(classes: DataFrame, counts: DataFrame, cosine: float, target: float, queries: int) -> DataFrame:
+    """The (label, width) of which the index has found under ``target`` of the links of the sampled vectors.
+
+    The sample is held against every row, task by task; what comes out of a task are its counts for each query.
+    """
+    chosen = by_hash(classes, 1, queries)
+    rows, sizes = rows_of(chosen)
+    ids = np.array(chosen["id"].to_pylist(), dtype=np.int64)
+    groups: dict[tuple[str, int], list[int]] = {}
+    for k, (label, size) in enumerate(zip(chosen["label"].to_pylist(), sizes.tolist(), strict=True)):
+        groups.setdefault((label, size), []).append(k)
+    asked = {(label, size): (ids[at], unit(rows[at][:, :size])) for (label, size), at in groups.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in (part for whole in batches for part in slices(whole, 4096)):
+            v = batch.column("v")
+            labels, copies, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "copies", "id"))
+            widths = v.value_lengths().to_numpy(zero_copy_only=False)
+            for (label, size), (query_ids, query_rows) in asked.items():
+                at = np.flatnonzero((labels == label) & (widths == size))
+                if len(at):
+                    i, j = linked(unit(matrix(v.take(pa.array(at)), size)[0]), query_rows, cosine)
+                    other = own[at][i] != query_ids[j]
+                    for q, n in zip(query_ids[j[other]].tolist(), copies[at][i[other]].tolist(), strict=True):
+                        total[q] = total.get(q, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
+
+    real = classes.select("id", "label", "v", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    held = F.broadcast(real).join(counts, "id", "left").join(classes.select("id", "label", F.size("v").alias("width")), "id")
+    sums = held.groupBy("label", "width").agg(F.sum("n").alias("n"), F.sum(F.coalesce("links", F.lit(0))).alias("found"))
+    return sums.filter(F.col("found") < F.col("n") * target).select("label", "width")
+
+
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, target: float = 0.99, queries: int = QUERIES) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors are linked when their labels are equal and not null, their lengths are equal and their cosine in double
-    precision reaches ``cosine``. Null vectors, zero vectors and vectors with null or non-finite components are linked
-    with nothing and stay. Identical vectors are one class, compared once and counted as often as they occur. Ids must
-    be unique; other columns are not touched; an empty table gives no rows. The pivots come from a bounded sample,
-    every vector is indexed; of a group of near copies all pairs are compared, as all of them count.
+    precision reaches ``cosine``. Null vectors, zero vectors, vectors with null or non-finite components and rows without
+    an id are linked with nothing and stay. Identical vectors are one class, compared once and counted as often as they
+    occur. Ids are integers and must be unique; other columns are not touched; an empty table gives no rows. The pivots
+    come from a bounded sample, every vector is indexed; of a group of near copies all pairs are compared, as all of
+    them count. ``queries`` vectors measure the index: labels in which it has found under ``target`` of their links are
+    compared exactly.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = usable(rows)
+    good = usable(rows.filter("id IS NOT NULL"))
     classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "label", "v", "copies"), "classes")
     most = n_pivots(classes.count())
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLED * most).collect()]
-    if not sample:
+    sample, _ = rows_of(by_hash(classes, 0, SAMPLED * most))
+    if not len(sample):
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = np.zeros((len(sample), max(map(len, sample))))
-    for k, v in enumerate(sample):
-        pivots[k, : len(v)] = v
-    pivots = spread(unit(pivots), most, cosine)
+    pivots = spread(unit(sample), most, cosine)
     index = stored(described(classes, pivots), "index")
 
-    lists = index.select("id", F.explode("named").alias("pivot"), F.xxhash64("label", F.size("v"), "pivot").alias("bucket"))
-    sizes = lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = lists.join(sizes, "bucket").join(index.select("id", "v", "copies", "named"), "id")
-    found = stored(compared(members, ["v", "copies", "named", "pivot"], block_links(cosine, min(LEAST_SHARED, len(pivots))), "id long, links long, a long, b long", block=BLOCK, stripe=16), "links")
-
-    counts = found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+    lists = stored(index.select("id", F.explode("named").alias("pivot"), F.xxhash64("label", F.size("v"), "pivot").alias("bucket")), "lists")
+    sizes = stored(lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    members = join_groups(lists, sizes, ["bucket"], "n", lists.count()).join(index.select("id", "v", "copies", "named"), "id")
+    schema = "id long, links long, a long, b long"
+    found = stored(compared(members, ["v", "copies", "named", "pivot"], block_links(cosine, min(LEAST_SHARED, len(pivots))), schema, block=BLOCK), "links")
+    links_of = lambda t: t.filter("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+
+    weak = stored(missed(classes, links_of(found), cosine, target, queries), "missed")
+    if not weak.isEmpty():  # at most as many labels as queries
+        exact = classes.withColumn("width", F.size("v")).join(F.broadcast(weak), ["label", "width"]).withColumn("bucket", F.xxhash64("label", "width"))
+        whole = F.broadcast(exact.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+        every = stored(compared(exact.join(whole, "bucket"), ["v", "copies"], block_links(cosine, 0), schema, block=BLOCK), "links")
+        done = exact.select("id")
+        # the forest's links that the index has found there are true ones too, and may stay
+        found = found.filter("id IS NULL").unionByName(found.filter("id IS NOT NULL").join(done, "id", "left_anti")).unionByName(every)
+
+    counts = links_of(found)
     joined = components(found.filter("a IS NOT NULL").select("a", "b"))
     rep = classes.join(counts, "id", "left").join(joined, "id", "left")
     rep = rep.select("label", "v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     total = classes.agg(F.sum("copies")).first()[0]
     out = join_groups(good, rep, ["label", "v"], "copies", total).select("id", "n_links", "component_id")
     alone = rows.join(good.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("id") == F.col("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm.blocks import compared
-from siftmill.llm.common import join_groups, small_batches, stored, table
+from siftmill.llm.common import join_groups, stored, table
 from siftmill.llm.components import components, merged
 
 BANDS, ROWS = 40, 5
@@ -133,7 +133,6 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
 
 def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """id, n_shingles, a 128-bit digest of the set, its band keys and its odd sketch; docs has id (long) and text."""
-    small_batches(docs.sparkSession)
     schema = "id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +156,6 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def set_table(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """id and its full shingle set."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,14 +235,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A shingle is ``width`` words, up to 32.
 
     Documents are linked when ``100 * shared >= percent * union`` holds for their sets of shingles; component_id is the
-    smallest id reachable. Null, empty and blank texts have no shingles, are linked with nothing and stay. Repeated ids
-    count as copies. Other columns are not touched; an empty table gives no rows. MinHash misses a link of exactly 0.8
+    smallest id reachable. Null, empty and blank texts have no shingles, are linked with nothing and stay. So do rows
+    without an id, which no component can be named by: their component_id is null. Ids are integers. Repeated ids count
+    as copies. Other columns are not touched; an empty table gives no rows. MinHash misses a link of exactly 0.8
     that nothing else connects with a probability of about 1e-7.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     all_sigs = stored(signatures(docs, width), "signatures")
     digest = ["digest_a", "digest_b", "n_shingles"]
-    full = all_sigs.filter("n_shingles > 0")
+    full = all_sigs.filter("n_shingles > 0 AND id IS NOT NULL")
     total = full.count()
     classes = stored(full.groupBy(*digest).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets_seen")
     reps = stored(join_groups(full, classes, digest, "copies", total).filter("id = rep").select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "classes")
@@ -264,9 +263,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = shared.filter("n > 3").select("bucket", "n", "id")
     for closest in (True, False):
         members = large.join(first, "id")
-        open_buckets = members.groupBy("bucket").agg(F.min("component_id").alias("c1"), F.max("component_id").alias("c2")).filter("c1 < c2").select("bucket")
-        rest = members.join(open_buckets, "bucket").join(reps.select("id", "n_shingles", "sketch", "bands"), "id")
-        pairs = compared(rest, ["bucket", "component_id", "n_shingles", "sketch", "bands"], block_candidates(percent, closest), "a long, b long").distinct()
+        open_buckets = members.groupBy("bucket").agg(F.min("component_id").alias("c1"), F.max("component_id").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 < c2").select("bucket", "n")
+        rest = join_groups(members.drop("n"), stored(open_buckets, "open"), ["bucket"], "n", BANDS * total).join(reps.select("id", "n_shingles", "sketch", "bands"), "id")
+        pairs = compared(rest, ["component_id", "n_shingles", "sketch", "bands"], block_candidates(percent, closest), "a long, b long").distinct()
         more = stored(confirmed(stored(pairs, "rest"), sets, percent), "more")
         side = lambda c: first.select(F.col("id").alias(c), F.col("component_id").alias(f"c_{c}"))  # noqa: E731,B023
         joined = components(more.join(side("a"), "a").join(side("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
@@ -276,8 +275,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     classed = classes.join(final, "rep")
     classed = join_groups(full.select("id", *digest), classed, digest, "copies", total).select("id", "n_shingles", "component_id")
-    out = classed.unionByName(all_sigs.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.withColumn("kept", F.col("id") == F.col("component_id"))
+    out = classed.unionByName(all_sigs.filter("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,11 +143,14 @@ def test_near_dedup_matches_brute_force(spark):
         assert rows(got, "id", "n_shingles", "component_id", "kept") == near_by_force(texts, width)
 
 
-def test_near_dedup_no_rows_and_no_words(spark):
+def test_near_dedup_no_rows_no_words_no_ids_and_repeated_ids(spark):
     from siftmill.llm.near_dedup import near_dedup
 
     assert near_dedup(documents(spark, ["x"]).filter("doc_id < 0")).count() == 0
     assert rows(near_dedup(documents(spark, [None, ""])), "id", "n_shingles", "component_id", "kept") == [(0, 0, 0, True), (1, 0, 1, True)]
+    docs = documents(spark, ["a b c d e", "a b c d e", "a b c d e", "x"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    got = near_dedup(docs.union(docs.filter("doc_id = 2")), width=4).collect()
+    assert sorted((r["id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in got) == [(-1, 2, -1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 3, True)]
 
 
 def test_blocks_of_a_bucket_leave_no_pair_out(spark):
@@ -157,8 +160,35 @@ def test_blocks_of_a_bucket_leave_no_pair_out(spark):
 
     members = spark.range(50).selectExpr("id % 2 AS bucket", "25L AS n", "id")
     pair = lambda left, right, same: pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b in p]), pa.array([max(a, b) for a, b in p])], names=["a", "b"]) if (p := [(a, b) for a in left["id"].to_pylist() for b in right["id"].to_pylist() if (a < b if same else True)]) else None
-    got = rows(compared(members, [], pair, "a long, b long", block=4), "a", "b")
-    assert got == [(a, b) for a, b in itertools.combinations(range(50), 2) if a % 2 == b % 2]
+    for stripe in (1, 2, 100):
+        got = rows(compared(members, [], pair, "a long, b long", block=4, stripe=stripe), "a", "b")
+        assert got == [(a, b) for a, b in itertools.combinations(range(50), 2) if a % 2 == b % 2]
+
+
+def test_blocks_of_a_hot_bucket_are_spread_over_the_tasks(spark):
+    import pyarrow as pa
+
+    from siftmill.llm.blocks import compared
+
+    def count(left, right, same):
+        from pyspark import TaskContext
+
+        n = len(left["id"]) * len(right["id"])
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["task", "n"])
+
+    # half of all rows in one bucket, the rest in buckets of ten
+    members = spark.range(8000).selectExpr("IF(id < 4000, -1, id DIV 10) AS bucket", "IF(id < 4000, 4000L, 10L) AS n", "id")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        done = compared(members, [], count, "task long, n long", block=32, stripe=4).groupBy("task").agg(F.sum("n").alias("n")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    work = [r["n"] for r in done]
+    assert sum(work) >= 4000 * 4000 / 2 and len(work) == 8
+    assert max(work) <= 2 * sum(work) / len(work)
 
 
 def test_components_of_stars_chains_and_loops(spark):
@@ -343,6 +373,26 @@ def test_embedding_dedup_finds_the_links_of_a_hot_group(spark):
     assert np.all(out["component_id"].to_numpy()[(order < hot) & (links > 0)] == first)
 
 
+@pytest.mark.parametrize("share", [0.90, 0.93, 0.95])
+def test_embedding_dedup_where_all_vectors_have_a_common_direction(spark, share):
+    from siftmill.llm.embedding_dedup import embedding_dedup
+
+    rng = np.random.default_rng(12)
+    n, width = 3000, 64
+    common, own = rng.normal(size=width), rng.normal(size=(n, width))
+    v = common / np.sqrt(common @ common) * np.sqrt(share) + own / np.sqrt((own * own).sum(axis=1, keepdims=True)) * np.sqrt(1 - share)
+    v[2000:] = own[2000:]  # the third label has no links
+    label = np.r_[np.zeros(1500, dtype=int), np.ones(500, dtype=int), np.full(1000, 2)]
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "label": label}), "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup(table.union(table.filter("vec_id < 0"))).toPandas().sort_values("id")
+    want = linked.sum(axis=1)
+    assert want.sum() > 0 and np.all(out["n_links"].to_numpy() <= want)
+    assert out["n_links"].sum() >= 0.99 * want.sum()
+
+
 MENU = '<ul class="menu"><li><a href="/a">{s}</a></li><li><a href="/b">{s}</a></li><li><a href="/c">{s}</a></li></ul>'
 LAYOUTS = (
     f'<body><header class="site-header"><div class="logo">{{s}}</div>{MENU}</header><div id="content" data-label="1"><h1>{{s}}</h1><p>{{p}}</p><p>{{p}}</p><h2>{{s}}</h2><p>{{p}}</p></div><div class="sidebar" data-label="0"><h3>{{s}}</h3><p>{{p}}</p>{MENU}</div><div class="footer">&copy; {{s}}</div></body>',
