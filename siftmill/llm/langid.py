@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from siftmill.llm import crf
-from siftmill.llm.common import held_out, small_batches, table
+from siftmill.llm.common import held_out, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words of a chain; longer texts are several chains, no word is left out.
@@ -132,7 +132,6 @@ def learn(docs: DataFrame, sample: int = 1_000) -> LanguageModel:
 
 def recognised(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; null texts and texts without a letter are ``und`` with a score of 0."""
-    small_batches(docs.sparkSession)
 
     @pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from siftmill.llm.common import held_out, small_batches, table
+from siftmill.llm.common import held_out, table
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "distinct_words", "top_word", "top_pair", "same_as_before", "capital_words",
@@ -194,7 +194,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> AdditiveM
 
     Rows without a label or a document teach nothing. Only this bounded sample of features comes to the driver.
     """
-    small_batches(docs.sparkSession)
     chosen = labels.select("doc_id", "quality").filter("quality IS NOT NULL").filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     extract = pandas_udf(lambda s: pd.Series(list(feature_rows(s))), "array<double>")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", extract("text").alias("x"), "quality").toPandas()
@@ -205,7 +204,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> AdditiveM
 
 def scored(docs: DataFrame, model: AdditiveModel, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score of 0 to 1 for every whole text; null and empty texts get the model's score of no text."""
-    small_batches(docs.sparkSession)
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

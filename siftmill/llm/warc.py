@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import join_groups, scratch, small_batches, stored, table
+from siftmill.llm.common import join_groups, scratch, stored, table
 
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
@@ -63,7 +63,6 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 256 << 20
     Each task starts a new archive after about ``archive_bytes``. Names are new in every attempt, so that what a lost
     attempt leaves is never read.
     """
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, records, size = None, "", 0, 0
