@@ -1,17 +1,18 @@
 """Exact de-duplication by a stateful stream.
 
 The state is keyed by the SHA-256 of the normalised text and kept on disk (RocksDB) without expiry. For each key it
-holds the row to keep: its length, its stable identifier and its content locator. A hit on a key is never trusted:
-the full normalised texts of all rows behind it are compared, and keys that turn out to hold several texts are split.
-Everything runs as DataFrame operations.
+holds the row to keep: its length, its stable identifier and its content locator, the file and the row in it that hold
+the text. A hit on a key is never trusted: the rows behind it are read again at their locators and their full normalised
+texts compared, and keys that turn out to hold several texts are split. Everything runs as DataFrame operations.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import SPACES, join_groups, scratch, stored, table
+from siftmill.llm.common import SPACES, join_groups, join_small, scratch, stored, table
 
 #: The state lives on disk; without pre-allocation, many small stores take the disk that their rows need.
 STATE_CONF = {
@@ -25,21 +26,25 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and locator of every row: file and row of a Parquet table, to which ``docs`` is written if it is no scan."""
+    narrow = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    locator = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("locator")
+    try:
+        return docs.select(*narrow, locator)
+    except AnalysisException:
+        return stored(docs.select(*narrow), "texts").select("id", "text", locator)
+
+
+def fingerprints(texts: DataFrame, digest=None) -> DataFrame:
     """A narrow row per document: id, digest of the normalised text, code points of the original, content locator."""
-    text = F.col(text_col)
     digest = digest or (lambda norm: F.sha2(norm, 256))
-    return docs.select(
-        F.col(id_col).alias("id"),
-        digest(normalised(text)).alias("digest"),
-        F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"),
-        F.concat(F.lit(f"{id_col}="), F.col(id_col).cast("string")).alias("locator"),
-    )
+    return texts.select("id", digest(normalised(F.col("text"))).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), "locator")
 
 
 def best() -> Column:
-    """Orders copies: most code points first, then the smallest id."""
-    return F.min(F.struct((-F.col("n_points")).alias("neg_points"), F.col("id"), F.col("locator"))).alias("best")
+    """Orders copies: most code points first, then the smallest id, none last, then the locator."""
+    return F.min(F.struct((-F.col("n_points")).alias("neg_points"), F.col("id").isNull().alias("no_id"), "id", "locator")).alias("best")
 
 
 def arrive(stream: DataFrame, state_dir: str) -> DataFrame:
@@ -71,46 +76,51 @@ def arrive(stream: DataFrame, state_dir: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = f"digest string, seen long, best struct<neg_points: long, id: {dict(stream.dtypes)['id']}, locator: string>"
+    schema = f"digest string, seen long, best struct<neg_points: long, no_id: boolean, id: {dict(stream.dtypes)['id']}, locator: string>"
     log = spark.read.schema(schema).parquet(f"{changed}/batch=*")
     return log.groupBy("digest").agg(F.max("seen").alias("group_size"), F.min("best").alias("best"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, batch_bytes: int = 8 << 30, files_per_batch: int | None = None) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, digest.
+    """One row per document: id, keep_id, group_size, kept, digest, locator.
 
     Texts are equal when they are identical without white space; null counts as empty, so null, empty and blank texts
-    are one group. Of equal texts the one with the most code points in the original stays, then the smallest id. Other
-    columns of ``docs`` are not touched. An empty table gives no rows. A repeated row counts as a further copy and
-    carries the same verdict.
+    are one group. Of equal texts the one with the most code points in the original stays, then the smallest id, a row
+    without an id last; of rows that are alike in all of this the first by its locator. So one row of a group stays,
+    repeated rows or not, and its keep_id is null only where no row of the group with as many code points has an id.
+    Other columns of ``docs`` are not touched. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
     path = scratch(spark, "fingerprints")
-    prints = fingerprints(docs, id_col, text_col, digest)
+    source = located(docs, id_col, text_col)
+    prints = fingerprints(source, digest)
     prints.write.parquet(path)
     log = spark.read.schema(prints.schema).parquet(path)
     total = log.count()
     if not total:
-        return spark.createDataFrame([], f"id {dict(docs.dtypes)[id_col]}, keep_id {dict(docs.dtypes)[id_col]}, group_size long, kept boolean, digest string")
+        return spark.createDataFrame([], f"id {kind}, keep_id {kind}, group_size long, kept boolean, digest string, locator string")
     reader = spark.readStream.schema(log.schema)
     reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", batch_bytes)
     groups = stored(arrive(reader.parquet(path), scratch(spark, "arrivals")), "groups")
 
-    # Hits: every row behind a digest seen more than once, with its whole text. Copies within a task meet before the
-    # shuffle, so that a text with a third of all rows costs one row a task.
-    hits = join_groups(log, groups.filter("group_size > 1"), ["digest"], "group_size", total).select("id", "digest", "n_points", "locator")
-    norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    norm = norm.withColumn("digest", (digest or (lambda x: F.sha2(x, 256)))(F.col("norm")))
-    texts = norm.join(hits.dropDuplicates(["id", "digest"]), ["id", "digest"])
+    # Hits: every row behind a digest seen more than once, read again where its locator says. Copies within a task meet
+    # before the shuffle, so that a text with a third of all rows costs one row a task.
+    hits = stored(join_groups(log, groups.filter("group_size > 1"), ["digest"], "group_size", total).select("id", "digest", "n_points", "locator"), "hits")
+    at = stored(hits.select(F.xxhash64("locator").alias("at")).distinct(), "places")
+    again = join_small(source.select("text", "locator", F.xxhash64("locator").alias("at")), at, ["at"], "left_semi", most=2_000_000)
+    texts = again.select("locator", normalised(F.col("text")).alias("norm")).join(hits, "locator")
     distinct = texts.groupBy("digest", F.xxhash64("norm").alias("h"), "norm").agg(F.count(F.lit(1)).alias("group_size"), best())
     mixed = stored(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "mixed")
 
-    plain = join_groups(log, groups, ["digest"], "group_size", total).select("id", F.col("best.id").alias("keep_id"), "group_size", "digest")
+    names = ["id", "keep_id", "group_size", "digest", "locator", "keep_at"]
+    verdict = [F.col("best.id").alias("keep_id"), "group_size", F.col("best.locator").alias("keep_at")]
+    plain = join_groups(log, groups, ["digest"], "group_size", total).select("id", "digest", "locator", *verdict).select(*names)
     if not mixed.isEmpty():  # one digest, several texts: those groups are formed by the texts themselves
-        split = distinct.join(mixed, "digest").select("digest", "norm", F.col("best.id").alias("keep_id"), "group_size")
-        exact = texts.select("id", "digest", "norm").join(split, ["digest", "norm"]).select("id", "keep_id", "group_size", "digest")
-        plain = plain.join(mixed, "digest", "left_anti").select("id", "keep_id", "group_size", "digest").unionByName(exact)
-    return plain.select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
+        split = distinct.join(mixed, "digest").select("digest", "norm", *verdict)
+        exact = texts.select("id", "digest", "norm", "locator").join(split, ["digest", "norm"]).select(*names)
+        plain = plain.join(mixed, "digest", "left_anti").select(*names).unionByName(exact)
+    return plain.select("id", "keep_id", "group_size", (F.col("locator") == F.col("keep_at")).alias("kept"), "digest", "locator")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
