@@ -44,25 +44,32 @@ def with_tables(found: DataFrame) -> DataFrame:
     return found.withColumn("mix_parts", parts).withColumn("mix_cdf", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), zero, grow, lambda s: s["c"]))
 
 
+def in_order(rows: DataFrame, place: str) -> DataFrame:
+    """``rows`` in the order of a hexadecimal hash: its even distribution gives the partitions their ranges, unsampled."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.conv(F.substring(place, 1, 8), 16, 10).cast("long")
+    return rows.repartitionById(tasks, F.floor(share * tasks / F.lit(1 << 32)).cast("int")).sortWithinPartitions(place)
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, other: float = 1.0, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` repeated to the target weights and shuffled; adds rate, n_copies, copy_no and place.
 
     ``weights`` gives sources' weights, sources not in it have ``other``; the weights' ratio is that of the expected
-    rows. Null sources are one source with the empty one. A document that draws 0 does not occur. Rows with the same id
-    draw the same count each. ``place`` is the hash that orders the result; columns of these names are replaced. No
-    rows give no rows.
+    rows. Null sources are one source with the empty one. A document that draws 0 does not occur. Rows with the same id,
+    and rows without one, draw the same count each. ``place`` is the hash that orders the result; columns of these four
+    names are replaced, all others are carried. No rows give no rows.
     """
-    names = [c for c in docs.columns if c not in ("rate", "n_copies", "copy_no", "place")]
-    keyed = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"))
-    known = with_tables(rates(keyed, weights, other, total))
-    n = keyed.count()
+    names = [c for c in docs.columns if c.lower() not in ("rate", "n_copies", "copy_no", "place")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("mix_doc"), F.col(id_col).cast("string").alias("mix_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"))
+    known = stored(with_tables(rates(keyed, weights, other, total)), "rates")
+    n = known.agg(F.coalesce(F.sum("mix_rows"), F.lit(0)).alias("n")).first()["n"]
     drawn = join_groups(keyed, known, ["mix_source"], "mix_rows", n)
-    below = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= uniform(seed, F.col(id_col), j)))
+    below = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= uniform(seed, F.col("mix_id"), j)))
     count = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda a, j: a + below(j))
     copies = drawn.withColumn("n_copies", count).filter("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    place = F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}p"), F.col(id_col).cast("string"), F.col("copy_no").cast("string")), 256), 1, 16)
-    out = copies.select(*names, F.col("mix_rate").alias("rate"), "n_copies", "copy_no", place.alias("place"))
-    return out.repartitionByRange("place").sortWithinPartitions("place")
+    place = F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}p"), "mix_id", F.col("copy_no").cast("string")), 256), 1, 16)
+    out = copies.select("mix_doc.*", F.col("mix_rate").alias("rate"), "n_copies", "copy_no", place.alias("place"))
+    return in_order(out, "place")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +79,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     without their texts, in its order.
     """
     out = stored(mixed(table(spark, sf_dir, "documents")), "mixture")
-    out = out.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("n_copies").cast("long").alias("n_copies"), F.col("copy_no").cast("long").alias("copy_no"), "place")
-    return out.repartitionByRange("place").sortWithinPartitions("place")
+    return in_order(out.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("n_copies").cast("long").alias("n_copies"), F.col("copy_no").cast("long").alias("copy_no"), "place"), "place")
 
 
 ORACLE = """
