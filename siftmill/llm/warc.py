@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import join_groups, scratch, stored, table
+from siftmill.llm.common import join_groups, join_small, scratch, stored, table
 
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
@@ -43,10 +43,10 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return squeeze.compress(b"\r\n".join([*head, b"", block, b"", b""])) + squeeze.flush()
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<{URN}{page_id}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<{URN}{page_id}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", url or f"{URN}{page_id}"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -187,14 +187,15 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
 
     The payload is the html in UTF-8, null counts as empty. Of equal payloads of at least LEAST_REVISIT bytes the one
     with the smallest page_id is the response and the others revisit it; smaller ones are all responses. A repeated page
-    is a record each time. Null urls are read back as null. Other columns are not archived.
+    is a record each time. Null and empty urls are read back as null. Ids are integers; a page without one is archived as it is and
+    read back without one, and no page revisits it. Other columns are not archived.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     digests = stored(rows.select("page_id", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("n")), "digests")
     groups = digests.filter(F.col("n") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     revisits = join_groups(digests, stored(groups, "groups"), ["payload_digest"], "copies", digests.count())
-    revisits = revisits.filter("page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to"))
-    made = rows.withColumn("payload_digest", F.sha2("payload", 256)).join(revisits, ["page_id", "payload_digest"], "left")
+    revisits = stored(revisits.filter("page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to")), "revisits")
+    made = join_small(rows.withColumn("payload_digest", F.sha2("payload", 256)), revisits, ["page_id", "payload_digest"], "left")
     return stored(write_archives(made, folder), "manifest")
 
 
