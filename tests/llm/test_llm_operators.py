@@ -55,12 +55,29 @@ def test_exact_dedup_checks_bytes_when_digests_collide(spark):
     assert rows(weak, "id", "keep_id", "group_size", "kept") == rows(exact_dedup(documents(spark, texts)), "id", "keep_id", "group_size", "kept")
 
 
-def test_exact_dedup_repeated_rows_and_no_rows(spark):
+def test_exact_dedup_repeated_rows_no_ids_and_no_rows(spark, tmp_path):
     from siftmill.llm.exact_dedup import exact_dedup
 
     docs = documents(spark, ["a b", "c"])
-    assert rows(exact_dedup(docs.union(docs)), "id", "keep_id", "group_size") == [(0, 0, 2)] * 2 + [(1, 1, 2)] * 2
+    got = exact_dedup(docs.union(docs))
+    assert rows(got, "id", "keep_id", "group_size") == [(0, 0, 2)] * 2 + [(1, 1, 2)] * 2
+    assert rows(got.filter("kept"), "id") == [(0,), (1,)]
     assert exact_dedup(docs.filter("doc_id < 0")).count() == 0
+    # a row without an id wins by length only, and never takes a group with it
+    bare = documents(spark, ["x y", "x y", "x  y z", "x y z", "q", "q"]).withColumn("doc_id", F.when(~F.col("doc_id").isin(0, 2, 4, 5), F.col("doc_id")))
+    bare.write.parquet(f"{tmp_path}/bare.parquet")
+    for source in (bare, spark.read.parquet(f"{tmp_path}/bare.parquet")):
+        got = exact_dedup(source).collect()
+        assert sorted((r["id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, -1, 2, False), (-1, -1, 2, True), (-1, -1, 2, True), (-1, 1, 2, False), (1, 1, 2, True), (3, -1, 2, False)]
+
+
+def test_exact_dedup_locators_can_be_followed(spark, tmp_path):
+    from siftmill.llm.exact_dedup import exact_dedup
+
+    documents(spark, odd_texts()).repartition(3).write.parquet(f"{tmp_path}/d.parquet")
+    for r in exact_dedup(spark.read.parquet(f"{tmp_path}/d.parquet")).collect():
+        file, _, row = r["locator"].partition("#")
+        assert spark.read.parquet(file).filter(F.col("_metadata.row_index") == int(row)).first()["doc_id"] == r["id"]
 
 
 def test_token_counts_equal_the_library(spark):
@@ -219,6 +236,16 @@ def test_mixing_reaches_the_weights_and_repeats_itself(spark):
     assert mixed(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_mixing_carries_columns_of_any_name(spark):
+    from siftmill.llm.mixing import mixed
+
+    docs = documents(spark, ["t"] * 20 + [None, ""]).select("*", *[F.lit(k).alias(k) for k in ("mix_source", "mix_rows", "mix_rate", "mix_parts", "mix_cdf", "mix_doc", "mix_id", "rate", "Place")])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    out = mixed(docs.union(docs.limit(2)), total=60).collect()
+    assert len(out) > 20 and all(r[k] == k for r in out for k in ("mix_source", "mix_rows", "mix_rate", "mix_parts", "mix_cdf", "mix_doc", "mix_id"))
+    assert all(isinstance(r["rate"], float) and len(r["place"]) == 16 for r in out)
+
+
 def test_mixing_query_repeats_and_shuffles_whole_documents(spark, tmp_path):
     import glob
 
@@ -290,6 +317,8 @@ def test_warc_round_trip(spark):
     big, small = "<p>é\r\n\r\nWARC/1.1</p>" * 30, "x" * 99
     htmls = [None, "", big, small, small, big, "y" * 100, "y" * 100, "z" * 300_000, big]
     made = pages(spark, htmls)
+    bare = read_archives(archived(made.filter("page_id >= 5").withColumn("page_id", F.when(F.col("page_id") > 5, F.col("page_id"))), scratch(spark, "warc"))).collect()
+    assert sorted((r["page_id"] or -1, r["refers_to"]) for r in bare if r["payload_bytes"] == len(big.encode())) == [(-1, None), (9, None)] and len(bare) == 5
     back = {r["page_id"]: r for r in read_archives(archived(made.repartition(3), scratch(spark, "warc")), with_payload=True).collect()}
     assert len(back) == len(htmls)
     for k, h in enumerate(htmls):
@@ -466,11 +495,33 @@ def test_language_of_words_and_texts(spark):
     langs = {k: list(speech)[k % 3] for k in range(240)}
     texts = [say(langs[k], 40) for k in range(240)] + [None, "", "12 ½ !", say("aa", 60) + " " + say("bb", 20), say("cc", 20_000)]
     docs = documents(spark, texts, langs=langs | {242: None})
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in recognised(docs.drop("score"), learn(docs.filter("doc_id < 240"))).collect()}
+    out = recognised(docs.withColumn("found", F.lit("mine")), learn(docs.filter("doc_id < 240"))).collect()
+    assert all(r["found"] == "mine" for r in out)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out}
     assert [got[k] for k in (240, 241, 242)] == [("und", 0.0)] * 3
     assert got[243][0] == "aa" and 0.5 < got[243][1] < 0.95 and got[244][0] == "cc"
     assert sum(got[k][0] == langs[k] for k in range(240)) >= 235
     assert learn(docs.filter("doc_id < 0")).languages == []
+    nobody = recognised(docs, learn(docs.filter("doc_id < 0")))
+    assert {(r["lang_pred"], r["score"]) for r in nobody.collect()} == {("und", 0.0)} and nobody.filter("doc_id < 0").count() == 0
+
+
+def test_language_needs_letters_and_reads_whole_runs(spark):
+    from siftmill.llm.langid import Recogniser, fit, learn, words_of
+
+    assert [words_of(t) for t in ("½ ½ ½ ½", "²²²² ³³ ¹¹¹ ½", "12 _ !", None, "")] == [[]] * 5
+    assert words_of("x² Ab½c é1") == ["x", "ab", "c", "é"]
+    run = "abcdefghij" * 30
+    assert "".join(words_of(run)) == run and len(words_of(run)) == 10
+    model = fit(["tha the ing ow " * 20, "che ung lich "*20], ["aa", "bb"])
+    texts = ["tha " * 40 + "lich " * 30, "½ ½ ½ ½", "the " * 200_000, "the lich"]
+    got = Recogniser(model).predict(texts)
+    assert got[0][0] == "aa" and got[1] == ("und", 0.0) and got[2][0] == "aa" and got[3][0] in ("aa", "bb")
+    tie = fit(["same words here", "same words here"], ["bb", "aa"])
+    assert Recogniser(tie).predict(["words"])[0] == Recogniser(tie).predict(["words"])[0]
+    # a repeated id brings no more rows than asked for
+    docs = documents(spark, ["the ow"] * 50, langs={k: "aa" for k in range(50)}).withColumn("doc_id", F.lit(2))
+    assert set(learn(docs, sample=5).languages) == {"aa"}
 
 
 def test_viterbi_and_marginals_match_enumeration():
