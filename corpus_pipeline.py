@@ -26,18 +26,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the same text, the one that stays."""
-    verdicts = stored(exact_dedup(docs).filter("kept").select(F.col("id").alias("doc_id")), "kept")
-    ids = verdicts.distinct()
-    left = docs.join(ids, "doc_id", "left_semi")
-    repeated = verdicts.groupBy("doc_id").count().filter("count > 1")
-    return (left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """Of documents with the same text, the one that stays; rows are told apart by their places, not by their ids."""
+    kept = stored(exact_dedup(docs).filter("kept").select("locator"), "kept")
+    place = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
+    return docs.select("*", place.alias("_locator")).join(kept.withColumnRenamed("locator", "_locator"), "_locator", "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    kept = near_dedup(docs).filter("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies, the document with the smallest id; documents without an id stay."""
+    kept = near_dedup(docs).filter("kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
+    return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
