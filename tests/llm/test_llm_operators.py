@@ -297,6 +297,40 @@ def test_packing_keeps_all_pieces_and_every_constraint(spark):
     assert packed(docs.filter("doc_id < 0"), F.col("n"), F.col("c")).count() == 0
 
 
+def test_best_fit_matches_brute_force():
+    from siftmill.llm.packing import best_fit
+
+    rng = random.Random(31)
+    for _ in range(60):
+        n, hot = rng.randint(1, 60), rng.random() < 0.5
+        sizes = sorted((rng.randint(1, 30) for _ in range(n)), reverse=True)
+        sources = [1 if hot and rng.random() < 0.4 else 1 << rng.randint(0, 9) for _ in range(n)]
+        clusters = [rng.choice([0, 1 << rng.randint(0, 5)]) for _ in range(n)]
+        bins, offsets = best_fit(sizes, sources, clusters, 30)
+        left, seen = [], []
+        for size, source, cluster, b, at in zip(sizes, sources, clusters, bins, offsets, strict=True):
+            free = [k for k in range(len(left)) if left[k] >= size and not seen[k][0] & source and not seen[k][1] & cluster]
+            if free:
+                assert left[b] == min(left[k] for k in free) and b in free
+            else:
+                assert b == len(left)
+                left.append(30)
+                seen.append((0, 0))
+            assert at == 30 - left[b]
+            left[b], seen[b] = left[b] - size, (seen[b][0] | source, seen[b][1] | cluster)
+
+
+def test_packing_keeps_a_hot_source_apart(spark, tmp_path):
+    from siftmill.llm.packing import op9_packing
+
+    docs = documents(spark, [f"{WORDS[k % 16]} {k}" for k in range(300)] + [None, ""], sources={k: "hot" if k % 3 == 0 else f"s{k % 40}" for k in range(302)})
+    docs.select("*", F.lit("x").alias("bin_id"), F.lit(1).alias("cluster"), F.lit(2).alias("total"), F.lit(3).alias("row_no"), F.lit(4).alias("shard")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op9_packing(spark, str(tmp_path)).toPandas()
+    assert len(out) == 302 and out["bin_id"].isna().sum() == 2
+    packed = out[out["bin_id"].notna()]
+    assert not packed.duplicated(["bin_id", "source"]).any() and packed["bin_id"].nunique() == 100
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     from siftmill.llm.packing import best_fit
 
@@ -431,6 +465,10 @@ LAYOUTS = (
     f'<body><header><nav>{MENU}</nav></header><article data-label="1"><h1>{{s}}</h1><p>{{p}}</p><aside class="promo" data-label="0"><p>{{p}}</p></aside><p>{{p}}</p><p>{{s}}</p><footer data-label="0"><p>{{s}}</p></footer></article><section class="comments" data-label="0"><p>{{p}}</p><p>{{p}}</p></section><footer>{{s}}</footer></body>',
     f'<body><div class="alert notice"><p>{{p}}</p></div><table><tr><td class="left">{MENU}</td><td class="text" data-label="1"><p>{{p}}</p><p>{{p}}</p><p>{{s}}</p></td></tr></table><p class="copyright">&copy; {{s}}</p></body>',
     f'<body><div>{MENU}</div><div data-label="1"><h1>{{s}}</h1><p>{{p}}</p><p>{{p}}</p><p>{{p}}</p></div><div><a href="/x">{{s}}</a> <a href="/y">{{s}}</a></div><div class="respond"><h3>{{s}}</h3><form><p>{{s}}</p></form></div></body>',
+    f'<body><nav>{MENU}</nav><article data-label="1"><h1>{{s}}</h1><p>{{p}}</p><p>{{p}}</p><section id="comments" data-label="0"><h3>Comments</h3><p>{{p}}</p><p>{{p}}</p></section></article></body>',
+    '<html><head><title>{s}</title></head><body data-label="1"><div class="c1"><div class="c2"><p>{p}</p><p>{p}</p></div><div class="c2">{p}</div></div></body></html>',
+    '<body><div class="m7" data-label="0"><a href="/">{s}</a><a href="/b">{s}</a><a href="/c">{s}</a></div><div class="m8" data-label="1"><p>{p}</p><p>{p}</p><p>{p}</p></div><div class="m9" data-label="0">Copyright {s}</div></body>',
+    '<body data-label="1"><p>{p}</p><p>{p}</p><noscript><p>{p}</p></noscript><object><p>{p}</p></object></body>',
 )
 
 def laid_out(paragraphs, pages, seed):
@@ -440,39 +478,75 @@ def laid_out(paragraphs, pages, seed):
     return [re.sub(r"\{s\}", short, re.sub(r"\{p\}", lambda _: rng.choice(paragraphs), LAYOUTS[k % len(LAYOUTS)])) for k in range(pages)]
 
 
-def test_html_blocks_and_held_out_layouts(spark):
-    from siftmill.llm.html_extract import blocks, extracted, filled, fit
+def articles():
+    sentences = [f"The {a} and the {b} stand near the old {c}, and nobody asks why. They were there before." for a, b, c in itertools.permutations(WORDS[:7], 3)]
+    real = [f"<body><nav><a href=/>{WORDS[k % 9]}</a></nav><article><h1>{WORDS[k % 8]}</h1>" + "".join(f"<p>{s}</p>" for s in sentences[k : k + 4]) + f"</article><footer>&copy; {WORDS[k % 5]}</footer>" for k in range(60)]
+    return sentences, real
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    from siftmill.llm.html_extract import fit
+
+    return fit(articles()[1][:40])
+
+
+def test_html_blocks_and_held_out_layouts(spark, page_model):
+    from siftmill.llm.html_extract import blocks, extracted
 
     page = "<html><body><nav><a href=/a>Home</a></nav><article><h1>A &amp; B</h1><p>One\n  two<br>three &eacute;<b>bold</b><p>Four<!-- no --><script>var x='<p>no</p>'</script></article><footer>&copy; x</footer>"
     assert [b.text for b in blocks(page)] == ["Home", "A & B", "One two three ébold", "Four", "© x"]
-    sentences = [f"The {a} and the {b} stand near the old {c}, and nobody asks why. They were there before." for a, b, c in itertools.permutations(WORDS[:7], 3)]
-    real = [f"<body><nav><a href=/>{WORDS[k % 9]}</a></nav><article><h1>{WORDS[k % 8]}</h1>" + "".join(f"<p>{s}</p>" for s in sentences[k : k + 4]) + f"</article><footer>&copy; {WORDS[k % 5]}</footer>" for k in range(60)]
-    model = fit(real[:40])
-    for made in (real[40:], laid_out(sentences, 28, seed=99)):
+    sentences, real = articles()
+    for made in (real[40:], laid_out(sentences, 4 * len(LAYOUTS), seed=99)):
         data = pages(spark, [*made, None, "", "<p", "<!-- open", "<div>" * 3000])
-        got = {r["page_id"]: r["main"] for r in extracted(data, model, into="main").collect()}
-        right = 0
+        got = {r["page_id"]: r["main"] for r in extracted(data, page_model, into="main").collect()}
+        right = hit = taken = asked = 0
         for k, h in enumerate(made):
-            found = blocks(h)
-            want = "\n\n".join(b.text for b in found if (b.label == 1 if "data-label" in h else "in:article" in b.above))
-            right += got[k] == want
-        assert right >= 0.9 * len(made)
+            want = [b.text for b in blocks(h) if (b.label == 1 if "data-label" in h else "in:article" in b.above)]
+            right += got[k] == "\n\n".join(want)
+            found = got[k].split("\n\n") if got[k] else []
+            hit, taken, asked = hit + len(set(want) & set(found)), taken + len(set(found)), asked + len(set(want))
+        assert right >= 0.85 * len(made) and hit >= 0.95 * taken and hit >= 0.95 * asked
         assert [got[len(made) + k] for k in range(2)] == ["", ""]
 
 
-def test_html_extraction_of_random_layouts():
+def test_html_depth_plain_text_and_long_names(page_model):
+    from siftmill.llm.html_extract import blocks
+
+    (a, b, *_), _ = articles()
+    assert page_model.extract([a + "\n\n" + b, f"<p>{a}</p><p>{b}</p>"]) == [f"{a} {b}", f"{a}\n\n{b}"]
+    for depth in (198, 250, 5000):
+        page = "<div>" * depth + f"<article><p>{a}</p><p>{b}</p></article>" + "</div>" * depth + "<footer>&copy; x</footer>"
+        assert page_model.extract([page]) == [f"{a}\n\n{b}"]
+        assert not any(f.startswith("in:div") for f in blocks(page)[-1].above)
+    assert "name:comments" in blocks('<div class="' + "x " * 20 + 'comments"><p>t</p></div>')[0].above
+    assert [x.text for x in blocks("<noscript>one</noscript><p>two <math><mi>x</mi></math></p><video>three</video><textarea>no</textarea>")] == ["one", "two x", "three"]
+
+
+def test_html_query_on_a_table_and_on_none(spark, tmp_path):
+    from siftmill.llm.html_extract import op8_html_extract
+
+    _, real = articles()
+    table = pages(spark, [*real, None, ""]).union(pages(spark, real[:1]))
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    want = {k: "\n\n".join(re.findall(r"<(?:h1|p)>([^<]*)<", h)) for k, h in enumerate(real)} | {60: "", 61: ""}
+    got = op8_html_extract(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted((k, t, len(t)) for k, t in [*want.items(), (0, want[0])])
+    table.filter("page_id < 0").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert op8_html_extract(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_html_extraction_of_random_layouts(page_model):
     from collections import Counter
 
-    from siftmill.llm.html_extract import blocks, filled, fit
+    from siftmill.llm.html_extract import blocks, filled
 
-    sentences = [f"The {a} and the {b} stand near the old {c}, and nobody asks why. They were there before." for a, b, c in itertools.permutations(WORDS[:7], 3)]
-    real = [f"<body><nav><a href=/>{WORDS[k % 9]}</a></nav><article><h1>{WORDS[k % 8]}</h1>" + "".join(f"<p>{s}</p>" for s in sentences[k : k + 4]) + f"</article><footer>&copy; {WORDS[k % 5]}</footer>" for k in range(60)]
-    model, made = fit(real), filled(sentences, 120, seed=123)
+    made = filled(articles()[0], 120, seed=123)
     hit = found = want = 0
-    for page, text in zip(made, model.extract(made), strict=True):
-        a, b = Counter(x.text for x in blocks(page) if x.label), Counter(text.split("\n\n") if text else [])
+    for (page, rest), text in zip(made, page_model.extract([p for p, _ in made]), strict=True):
+        a, b = Counter(x.text for x in blocks(page, rest) if x.label), Counter(text.split("\n\n") if text else [])
         hit, found, want = hit + (a & b).total(), found + b.total(), want + a.total()
-    assert hit >= 0.95 * found and hit >= 0.95 * want
+    assert hit >= 0.93 * found and hit >= 0.93 * want
 
 
 def test_html_tokenizer_is_linear_in_broken_pages():
@@ -481,7 +555,7 @@ def test_html_tokenizer_is_linear_in_broken_pages():
     from siftmill.llm.html_extract import blocks
 
     began = time.time()
-    for piece in ('<a "', "<", "<!--", "<!x", "<div>", "<script>", "<p class='", "<b =", "</div", "&lt"):
+    for piece in ('<a "', "<", "<!--", "<!x", "<div>", "</p>", "<div></p>", "<div>x", "<script>", "<p class='", "<b =", "</div", "&lt"):
         blocks(piece * 40_000)
     assert time.time() - began < 60
 
