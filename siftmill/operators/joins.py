@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,16 +66,82 @@ def reassociated(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return questions.select("conv_id", "turn", F.col("text").alias("asked")).join(one.drop("n"), ["conv_id", "turn"], "left")
 
 
+#: Quotes of so many characters together are sent to every task; more are joined by their windows.
+QUOTE_CHARS = 16 << 20
+_PRIME = 0x9E3779B97F4A7C15
+_INVERSE = pow(_PRIME, -1, 1 << 64)
+
+
 def containing(quotes: DataFrame, texts: DataFrame, window: int = 24, least: int = 6, share: int = 16) -> DataFrame:
-    """Pairs (item_id, doc_id) where the text t holds the whole quote q.
+    """Pairs (item_id, doc_id) where the text t holds the whole quote q, which has at least so many characters.
 
-    Texts are looked up by windows as wide as ``window``, or as the quote if that is shorter. Only windows whose hash is
-    divisible by ``share`` are joined: a quote has such a window at the same place in every text that holds it. Quotes
-    that have none are joined by their first window with all windows of the texts.
+    Quotes and texts are ASCII letters and digits. Texts are looked through in place by a rolling hash of windows as wide
+    as ``window``, or as the quote if that is shorter, and a hit is read character by character. That takes the quotes
+    into every task, so they must be few; where they are counted to be too many, texts and quotes meet in a join.
+    """
+    long = quotes.filter(F.length("q") >= least).select("item_id", "q")
+    if long.agg(F.coalesce(F.sum(F.length("q")), F.lit(0)).alias("n")).first()["n"] > QUOTE_CHARS:
+        return containing_by_join(long, texts, window, share)
+    known = long.toArrow().combine_chunks()
+    kinds = dict(quotes.dtypes)["item_id"], dict(texts.dtypes)["doc_id"]
+    find, items = finder(known["q"].to_pylist(), window), known["item_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column("t").to_pylist()):
+                for q in find(text or ""):
+                    rows.append(k)
+                    found.append(q)
+            yield pa.RecordBatch.from_arrays([items.take(pa.array(found, pa.int64())).combine_chunks(), batch.column("doc_id").take(pa.array(rows, pa.int64()))], names=["item_id", "doc_id"])
+
+    return texts.select("doc_id", "t").mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}")
+
+
+def finder(quotes: list[str], window: int):
+    """A function from a text to the numbers of the quotes that it holds."""
+    by_width: dict[int, dict[int, list[int]]] = {}
+    for k, q in enumerate(quotes):
+        width = min(len(q), window)
+        h = sum(c * pow(_PRIME, i, 1 << 64) for i, c in enumerate(q[:width].encode())) & ((1 << 64) - 1)
+        by_width.setdefault(width, {}).setdefault(h, []).append(k)
+    heads = {}
+    for width, owners in by_width.items():
+        hashes = np.array(sorted(owners), dtype=np.uint64)
+        marked = np.zeros(1 << 16, dtype=bool)
+        marked[hashes >> np.uint64(48)] = True
+        heads[width] = (hashes, marked, owners)
+    powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+
+    def find(text: str) -> list[int]:
+        raw = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.uint64)
+        if len(raw) > len(powers["up"]):
+            for name, base in (("up", _PRIME), ("down", _INVERSE)):
+                powers[name] = np.cumprod(np.r_[np.uint64(1), np.full(2 * len(raw), base, dtype=np.uint64)])
+        sums = np.r_[np.uint64(0), np.cumsum(raw * powers["up"][: len(raw)])]
+        found: set[int] = set()
+        for width, (hashes, marked, owners) in heads.items():
+            if width > len(raw):
+                continue
+            h = (sums[width:] - sums[:-width]) * powers["down"][: len(raw) - width + 1]
+            at = np.flatnonzero(marked[h >> np.uint64(48)])
+            at = at[np.isin(h[at], hashes)]
+            for place, key in zip(at.tolist(), h[at].tolist(), strict=True):
+                found.update(q for q in owners[key] if q not in found and text.startswith(quotes[q], place))
+        return sorted(found)
+
+    return find
+
+
+def containing_by_join(quotes: DataFrame, texts: DataFrame, window: int = 24, share: int = 16) -> DataFrame:
+    """As ``containing``, by a join of windows.
+
+    Only windows whose hash is divisible by ``share`` are joined: a quote has such a window at the same place in every
+    text that holds it. Quotes that have none are joined by their first window with all windows of the texts.
     """
     spots = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - F.col("w") + 1), lambda i: F.substr(c, i, F.col("w")))
     chosen = lambda x: F.xxhash64(x) % share == 0
-    q = quotes.filter(F.length("q") >= least).withColumn("w", F.least(F.length("q"), F.lit(window)))
+    q = quotes.withColumn("w", F.least(F.length("q"), F.lit(window)))
     q = q.withColumn("head", F.try_element_at(F.filter(spots("q"), chosen), F.lit(1)))
     some, none = q.filter("head IS NOT NULL"), q.filter("head IS NULL").withColumn("head", F.substr("q", F.lit(1), F.col("w")))
 

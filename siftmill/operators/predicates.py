@@ -20,8 +20,12 @@ EDITORIAL_TITLE = r"^(?:how to|what is|why |top \d+|the best|guide to)"
 ID_PARAMETER = r"[?&](?:id|jobid|job_id|ref|vacancy|jk)=[^&#]+"
 LIST_END = r"/(?:jobs?|careers?|search|vacancies|stellen|emplois|empleos)/?$"
 COUNTED_TITLE = r"(?:^|\s)\d[\d.,]*\+?\s+(?:jobs?|vacancies|positions|stellen|offres|ofertas)(?:\s|$)"
+INDEX_PHRASE = r"(?:all|\d+) (?:open )?(?:jobs|vacancies|positions) (?:found|in|at|match)|search results for|sort by (?:date|relevance)|stellen gefunden|offres trouvées|ofertas encontradas"
 BLOCKED = r"access denied|are you a robot|captcha|just a moment|page not found|forbidden|service unavailable"
 TAG = r"\[[^\[\]\n]{1,40}\]"
+#: Where a notice must stand, how many tags and phrases make an index, and when a text counts as English.
+GONE_CHARS, INDEX_TAGS, INDEX_CHARS = 600, 8, 2_000
+FEW_WORDS, MARKERS_OF_100 = 40, 8
 
 
 def work_location(text: Column, tag: Column, thin: Column, mode: str = "remote") -> Column:
@@ -76,7 +80,7 @@ def english_density(text: Column) -> Column:
     """English by its function words: texts of under 40 words count as English, else 8 of 100 words must be markers."""
     words = F.filter(F.split(squeezed(text), "[^a-z]+"), lambda w: w != "")
     n = F.size(words)
-    return (n < 40) | (F.size(F.filter(words, lambda w: w.isin(*MARKERS["en"]))) * 100 >= n * 8)
+    return (n < FEW_WORDS) | (F.size(F.filter(words, lambda w: w.isin(*MARKERS["en"]))) * 100 >= n * MARKERS_OF_100)
 
 
 def detected_language(text: Column) -> Column:
@@ -97,12 +101,18 @@ def fake_reasons(company: Column, body: Column, url: Column, thin: Column) -> Co
 
 
 def is_gone(body: Column) -> Column:
-    """A notice that the posting is gone within the first 600 characters, or the text of an index."""
-    return hit(squeezed(F.substring(F.coalesce(body, F.lit("")), 1, 600)), "gone") | is_index_text(body)
+    """A notice that the posting is gone within the first 600 characters, white space counted once, or the text of an index."""
+    return says_gone(body) | is_index_text(body)
+
+
+def says_gone(body: Column) -> Column:
+    return hit(F.substring(squeezed(body), 1, GONE_CHARS), "gone")
 
 
 def is_index_text(body: Column) -> Column:
-    return F.regexp_count(F.coalesce(body, F.lit("")), F.lit(TAG)) >= 8
+    """Many tags in brackets, or a phrase of an index within the first 2,000 characters."""
+    text = F.coalesce(body, F.lit(""))
+    return (F.regexp_count(text, F.lit(TAG)) >= INDEX_TAGS) | F.substring(F.lower(text), 1, INDEX_CHARS).rlike(INDEX_PHRASE)
 
 
 def is_single_posting(url: Column) -> Column:

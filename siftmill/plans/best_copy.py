@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from siftmill.operators.survivorship import first_wins
 from siftmill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,8 +18,7 @@ def dedup_best_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct posting text: the longest original, then the smallest id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", "source", F.length("text").alias("n_chars"), F.sha2(F.lower(F.trim("text")), 256).alias("key"))
-    first = Window.partitionBy("key").orderBy(F.desc("n_chars"), "doc_id")
-    return docs.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("doc_id", "source", "n_chars", "key")
+    return first_wins(docs, F.col("key"), [-F.col("n_chars"), F.col("doc_id")], keep_blank=False).select("doc_id", "source", "n_chars", "key")
 
 
 QUERIES["dedup_best_copy"] = dedup_best_copy

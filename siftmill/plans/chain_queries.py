@@ -15,7 +15,7 @@ from siftmill.operators.survivorship import module_dedup
 from siftmill.plans.adapters import POSTINGS, postings, sql_squeezed
 from siftmill.plans.chains import Choices, accounting, module_reason, screened
 from siftmill.sources.normalise import SOURCES, normalised
-from siftmill.streaming.ingest import arrivals, collect_into, first_of_each
+from siftmill.streaming.ingest import arrivals, collect_into, first_of_each, with_undated
 from siftmill.tables import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,8 +115,9 @@ def stream_first_of_each(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("k"), F.col("ts").cast("timestamp").alias("t"))
     folder, out, state = (scratch_path(spark, name) for name in ("arrivals", "collected", "state"))
     e.write.parquet(folder)
-    collect_into(first_of_each(arrivals(spark, folder, "k string, t timestamp"), "k", "t", "100 days"), out, state).awaitTermination()
-    return spark.read.schema("k string, t timestamp").parquet(out).select("k")
+    schema = "k string, t timestamp"
+    collect_into(first_of_each(arrivals(spark, folder, schema), "k", "t", "100 days"), out, state).awaitTermination()
+    return with_undated(spark.read.schema(schema).parquet(out), spark.read.schema(schema).parquet(folder), "k", "t").select("k")
 
 
 @query("SELECT lang, sha256('v1' || chr(31) || lang || chr(31) || 'any') AS signature, count(*) AS n FROM documents GROUP BY lang")

@@ -96,17 +96,20 @@ def fake_two_reasons(spark, sf_dir):
     return postings(spark, sf_dir).select("row_id", reasons.alias("reasons"), (reasons >= 2).alias("fake"))
 
 
-_GONE = V.sql_hit(sql_squeezed("substr(description, 1, 600)"), "gone")
+_GONE = V.sql_hit(f"substr({sql_squeezed('description')}, 1, {P.GONE_CHARS})", "gone")
 _TAG = P.TAG.replace("'", "''")
 
 
-@query(f"""SELECT row_id, {_GONE} AS notice, len(regexp_extract_all(description, '{_TAG}')) >= 8 AS index_text,
-      {_GONE} OR len(regexp_extract_all(description, '{_TAG}')) >= 8 AS gone,
+_INDEX = f"(len(regexp_extract_all(description, '{_TAG}')) >= {P.INDEX_TAGS} OR regexp_matches(substr(lower(description), 1, {P.INDEX_CHARS}), '{P.INDEX_PHRASE}'))"
+
+
+@query(f"""SELECT row_id, {_GONE} AS notice, {_INDEX} AS index_text,
+      {_GONE} OR {_INDEX} AS gone,
       len(regexp_extract_all(lower(description), '{V.pattern_of(V.terms_of('posting'))}')) >= 3 AS posting_words FROM postings""")
 def gone_and_index_text(spark, sf_dir):
     """Notices that a posting is gone, index texts, postings' own words."""
     d = F.col("description")
-    return postings(spark, sf_dir).select("row_id", V.hit(T.squeezed(F.substring(d, 1, 600)), "gone").alias("notice"), P.is_index_text(d).alias("index_text"), P.is_gone(d).alias("gone"), P.posting_words(d).alias("posting_words"))
+    return postings(spark, sf_dir).select("row_id", P.says_gone(d).alias("notice"), P.is_index_text(d).alias("index_text"), P.is_gone(d).alias("gone"), P.posting_words(d).alias("posting_words"))
 
 
 WANTED = ["of and", "the in", "de la", "der die"]
@@ -199,7 +202,7 @@ def language_listagg(spark, sf_dir):
 
 
 _REASONS = [
-    ("gone", f"{_GONE} OR len(regexp_extract_all(description, '{_TAG}')) >= 8"),
+    ("gone", f"{_GONE} OR {_INDEX}"),
     ("place", "country IS NULL OR country NOT IN ('United Kingdom', 'Germany', 'France')"),
     ("language", V.sql_hit_by_language(sql_squeezed("description"), "lang", "language_required")),
     ("sponsorship", V.sql_hit(sql_squeezed("description"), "no_sponsorship")),

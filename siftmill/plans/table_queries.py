@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftmill.functions import text as T
 from siftmill.functions.html import json_ld_posting, main_text
@@ -15,6 +14,7 @@ from siftmill.functions.text import first_present
 from siftmill.operators import joins as J
 from siftmill.operators import predicates as P
 from siftmill.operators.links import link_shapes, url_prefixes
+from siftmill.operators.ordering import placed_within
 from siftmill.operators.survivorship import first_wins
 from siftmill.tables import table
 
@@ -56,7 +56,7 @@ def explode_search_pages(spark, sf_dir):
 def best_attempt(spark, sf_dir):
     """Of several attempts the best: known status, status good, longest; here an order's lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
-    order = [(F.col("l_returnflag") == "N").desc(), (F.col("l_linestatus") == "O").desc(), F.desc("l_extendedprice"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    order = [F.col("l_returnflag") != "N", F.col("l_linestatus") != "O", -F.col("l_extendedprice"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
     return first_wins(lines, F.col("l_orderkey"), order, keep_blank=False).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
@@ -147,7 +147,7 @@ def glob_match(spark, sf_dir):
 def dedup_url_best_copy(spark, sf_dir):
     """Of pages with one address the best copy: no republisher, the longest, the first."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("n"))
-    order = [(~T.url_host(F.col("url")).contains("blog")).desc(), F.desc("n"), F.col("page_id")]
+    order = [T.url_host(F.col("url")).contains("blog"), -F.col("n"), F.col("page_id")]
     return first_wins(p, T.url_identity(F.col("url")), order).select("page_id", "url")
 
 
@@ -160,12 +160,13 @@ def top_hosts(spark, sf_dir):
 @query(
     """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS path FROM pages),
     s AS (SELECT host, path, string_split(trim(path, '/'), '/') AS seg FROM p WHERE trim(path, '/') <> ''),
-    x AS (SELECT host, unnest([1, 2]) AS depth, seg FROM s), y AS (SELECT depth, array_to_string(seg[1:depth], '/') AS prefix, len(seg) AS n_seg FROM x WHERE len(seg) >= depth)
-    SELECT prefix, CAST(depth AS INTEGER) AS depth, count(*) AS support, CAST(mode(n_seg) AS BIGINT) IS NOT NULL AS has_depth FROM y GROUP BY ALL HAVING count(*) >= 2"""
+    x AS (SELECT host, unnest([1, 2]) AS depth, seg FROM s), y AS (SELECT depth, array_to_string(seg[1:depth], '/') AS prefix, len(seg) AS n_seg FROM x WHERE len(seg) >= depth),
+    z AS (SELECT prefix, depth, n_seg, count(*) AS n FROM y GROUP BY ALL)
+    SELECT prefix, CAST(depth AS INTEGER) AS depth, CAST(sum(n) AS BIGINT) AS support, CAST(max_by(n_seg, (n, n_seg)) AS INTEGER) AS usual_depth FROM z GROUP BY prefix, depth HAVING sum(n) >= 2"""
 )
 def url_prefix_support(spark, sf_dir):
     """Prefixes of one and two segments with the addresses below them."""
-    return url_prefixes(table(spark, sf_dir, "pages").select("url")).filter("support >= 2").select("prefix", "depth", "support", F.lit(True).alias("has_depth"))
+    return url_prefixes(table(spark, sf_dir, "pages").select("url")).filter("support >= 2").select("prefix", "depth", "support", "usual_depth")
 
 
 @query(
@@ -317,8 +318,8 @@ def application_status(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     total = F.when(~F.isnan("o_totalprice") & (F.abs("o_totalprice") != float("inf")), F.col("o_totalprice"))
     status = F.when(F.col("o_orderstatus") == "O", "Processing").when(F.col("o_orderstatus") == "F", "Accept").otherwise("Reject")
-    place = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey"))
-    return o.select("o_orderkey", status.alias("status"), total.alias("total"), place.alias("place"))
+    rows = o.select("o_orderkey", "o_orderstatus", status.alias("status"), total.alias("total"), (-F.col("o_totalprice")).alias("by"))
+    return placed_within(rows, ["o_orderstatus"], "by", "o_orderkey").select("o_orderkey", "status", "total", "place")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE value IS NULL OR value >= 20 GROUP BY event_type")

@@ -79,8 +79,7 @@ def normalised(raw: DataFrame, source: Source, item: str = "item") -> DataFrame:
         out = out.filter(F.col("_bad") | F.try_variant_get("_i", source.needs, "string").isNotNull())
     out = out.filter(F.col("_bad") | F.col("_i").isNotNull())
     return out.select(
-        *[c for c in COLUMNS if c not in ("description", "employment_type", "workplace_type", "posted_raw")],
-        F.substring("posted_raw", 1, 30).alias("posted_raw"),
+        *[c for c in COLUMNS if c not in ("description", "employment_type", "workplace_type")],
         F.when(F.col("description").isNotNull(), strip_html(F.col("description"))).alias("description"),
         spelled(F.col("employment_type"), EMPLOYMENT).alias("employment_type"),
         spelled(F.col("workplace_type"), WORKPLACES).alias("workplace_type"),

@@ -13,8 +13,8 @@ def arrivals(spark: SparkSession, folder: str, schema: str, files_per_batch: int
 
 
 def first_of_each(stream: DataFrame, key: str, time: str, late: str = "30 days") -> DataFrame:
-    """Rows whose key has not come before within the watermark. Rows without a time take the earliest time possible and
-    so are not lost to it: they go a way of their own, in ``without_time``."""
+    """Rows whose key has not come before within the watermark. Rows without a time would be lost to it: they go a way of
+    their own, ``without_time``, and ``with_undated`` puts them to what was collected."""
     dated = stream.filter(F.col(time).isNotNull()).withWatermark(time, late)
     return dated.dropDuplicatesWithinWatermark([key])
 
@@ -24,6 +24,12 @@ def without_time(stream: DataFrame, time: str) -> DataFrame:
     return stream.filter(F.col(time).isNull())
 
 
+def with_undated(collected: DataFrame, arrived: DataFrame, key: str, time: str) -> DataFrame:
+    """What a stream has collected, and of the arrived rows without a time one for each key that it lacks."""
+    undated = without_time(arrived, time).dropDuplicates([key])
+    return collected.select(*arrived.columns).unionByName(undated.join(collected.select(key), key, "left_anti").select(*arrived.columns))
+
+
 def collect_into(stream: DataFrame, table_folder: str, state_folder: str, transform=lambda df: df) -> StreamingQuery:
     """Runs what has arrived through ``transform``, batch by batch; a repeated batch replaces its own output."""
 

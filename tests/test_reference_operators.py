@@ -98,6 +98,51 @@ def test_accents_do_not_change_a_hit_and_short_terms_are_whole_words(spark):
     assert values(spark, ["an ai job", "an air job", "ai"], lambda a: a.rlike(pattern_of(["ai"]))) == [True, False, True]
 
 
+def test_bound_of_shared_words_drops_nothing_that_is_alike(spark):
+    from siftmill.functions.similarity import token_set
+    from siftmill.operators.survivorship import joined_length, may_be_alike, sized_words
+
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    pairs = [(k, *(" ".join(rng.choice(words[: rng.randint(1, 40)]) for _ in range(rng.randint(1, 30))) for _ in range(2))) for k in range(800)]
+    df = spark.createDataFrame(pairs, "k int, a string, b string").select("k", "a", "b", sized_words(F.col("a")).alias("x"), sized_words(F.col("b")).alias("y"))
+    kept = {r["k"] for r in df.filter(may_be_alike(F.col("x"), F.col("y"), joined_length(F.col("x")), joined_length(F.col("y")), 80)).collect()}
+    alike = {k for k, a, b in pairs if token_set(a, b) >= 80}
+    assert alike <= kept and alike and len(kept) < len(pairs)
+
+
+def test_quotes_in_texts_both_ways(spark):
+    from siftmill.operators.joins import containing, containing_by_join
+
+    rng = random.Random(23)
+    draw = lambda n: "".join(rng.choice("ab1") for _ in range(n))
+    texts = [draw(rng.randint(0, 400)) for _ in range(60)] + ["", "abcdef"]
+    quotes = [draw(rng.randint(6, 12)) for _ in range(30)] + [texts[0][5:60], "abcdef", "abc", texts[1]]
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, q string").withColumn("item_id", F.col("item_id").cast("int"))
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(99, None)], "doc_id long, t string")
+    want = sorted((i, d) for i, x in enumerate(quotes) for d, y in enumerate(texts) if len(x) >= 6 and x in y)
+    assert sorted(map(tuple, containing(q, t).collect())) == want
+    assert sorted(map(tuple, containing_by_join(q.filter("length(q) >= 6"), t).collect())) == want
+    assert containing(q.filter("item_id < 0"), t).count() == 0
+
+
+def test_first_wins_keeps_blank_keys_and_bears_a_hot_one(spark):
+    from siftmill.operators.survivorship import first_wins
+
+    df = spark.createDataFrame([(k, "hot" if k % 3 else None if k % 2 else "", {"m": k}) for k in range(300)], "id int, k string, tags map<string,int>")
+    out = first_wins(df, F.col("k"), [-F.col("id")]).collect()
+    assert sorted(r["id"] for r in out) == sorted([299, *range(0, 300, 3)])
+    assert sorted(r["id"] for r in first_wins(df, F.col("k"), [F.col("id")], keep_blank=False).collect()) == [0, 1, 3]
+
+
+def test_notice_of_removal_after_blanks(spark):
+    from siftmill.operators.predicates import is_gone
+
+    texts = ["\n " * 350 + "This position is no longer available", "x" * 601 + " no longer available", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r["g"] for r in df.orderBy("k").select(is_gone(F.col("t")).alias("g")).collect()] == [True, False, False]
+
+
 def test_similarities():
     from siftmill.functions.similarity import common_subsequence, matching_blocks, ratio, token_set
 
@@ -115,6 +160,21 @@ def test_similarities():
         assert common_subsequence(a, b) == slow(a, b)
     assert ratio("", "") == 100 and ratio("ab", "ab") == 100 and ratio("ab", "cd") == 0
     assert token_set("a b c", "c b") == 100 and token_set("", "a") == 0
+
+    def plain_token_set(a, b):
+        x, y = set(a.split()), set(b.split())
+        both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        if both and (not left or not right):
+            return 100.0
+        first, second = f"{both} {left}".strip(), f"{both} {right}".strip()
+        return max(ratio(first, second), *((ratio(both, first), ratio(both, second)) if both else (0.0,)))
+
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    for _ in range(400):
+        a, b = (" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(2))
+        want = plain_token_set(a, b)
+        assert abs(token_set(a, b) - want) < 1e-9
+        assert abs(token_set(a, b, 70.0) - (want if want >= 70 else 0)) < 1e-9
     assert abs(token_set("new york mets", "new york yankees") - ratio("new york mets", "new york yankees")) < 1e-9 or token_set("new york mets", "new york yankees") > 70
     assert matching_blocks("acme systems", "acme system") > 0.9 and matching_blocks("acme", "zebra") == 0
 
