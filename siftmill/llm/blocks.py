@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
-STRIPE = 16
+STRIPE = 4
 
 
 def compared(members: DataFrame, columns: list[str], compare: Callable, schema: str, block: int = BLOCK, stripe: int = STRIPE) -> DataFrame:
