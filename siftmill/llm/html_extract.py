@@ -330,11 +330,13 @@ def fit(pages: list[str], made: int = 600, least_seen: int = 2) -> PageModel:
 def learn(pages: DataFrame, sample: int = 300, longest: int = 200_000, id_col: str = "page_id", html_col: str = "html") -> PageModel:
     """A model from at most ``sample`` pages, the first by a hash of the id.
 
-    Pages of over ``longest`` characters are not taken to learn from, so that what comes to the driver is bounded.
+    Pages of over ``longest`` characters are not taken to learn from, so that what comes to the driver is bounded; an id
+    that occurs repeatedly teaches once.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("html").isNotNull() & (F.length("html") <= longest))
-    taken = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(sample).collect()
-    return fit(sorted(r["html"] for r in taken))
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    once = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+    return fit([r["html"] for r in once.orderBy("id").collect()])
 
 
 def extracted(pages: DataFrame, model: PageModel, html_col: str = "html", into: str = "text") -> DataFrame:

@@ -192,12 +192,12 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, n_pairs
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> AdditiveModel:
     """A model from at most ``sample`` labelled rows outside the held-out fold, the first by a hash of the id.
 
-    Rows without a label or a document teach nothing. Only this bounded sample of features comes to the driver.
+    Rows without a label or a document teach nothing, an id that occurs repeatedly teaches once. Only this bounded sample of features comes to the driver.
     """
     chosen = labels.select("doc_id", "quality").filter("quality IS NOT NULL").filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     extract = pandas_udf(lambda s: pd.Series(list(feature_rows(s))), "array<double>")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", extract("text").alias("x"), "quality").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", extract("text").alias("x"), "quality")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy(dtype=float))
 
