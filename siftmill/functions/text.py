@@ -62,9 +62,12 @@ def title_head(c: Column) -> Column:
     return F.when(F.length(head) >= 4, head).otherwise("")
 
 
-def dedup_title_key(title: Column) -> Column:
-    """Lower case; a short tail after the last bar, gender tags, brackets and what is no Latin letter are dropped."""
-    t = F.lower(F.coalesce(title, F.lit("")))
+def dedup_title_key(title: Column, company: Column | None = None) -> Column:
+    """Lower case; the employer with its connector, a short tail after the last bar, gender tags, brackets and what is no
+    Latin letter are dropped."""
+    from siftmill.functions.titles import without_employer
+
+    t = F.lower(F.coalesce(title, F.lit(""))) if company is None else without_employer(title, company)
     t = F.regexp_replace(t, r"\|(?:\s*[^\s|]+){1,3}\s*$", " ")
     t = F.regexp_replace(t, r"\(?\b[mfwd]\s*/\s*[mfwd](?:\s*/\s*[mfwdx])?\b\)?", " ")
     t = F.regexp_replace(t, r"\([^)]*\)|\[[^\]]*\]", " ")
@@ -120,9 +123,24 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join({"**": ".*", "*": "[^/]*"}.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*)", glob)) + "$"
 
 
+#: A note stands at the end, apart from the text, and has no dollar signs of its own.
+NOTE = r"(?:^|\s)\s*\$\$([^$]*)\$\$\s*$"
+
+
 def drop_note_removed(text: Column) -> Column:
     """A text without the removal notes that older rows carry between double dollar signs."""
-    return F.rtrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)\s*\$\$.*?\$\$\s*$", ""))
+    return F.rtrim(F.regexp_replace(F.coalesce(text, F.lit("")), NOTE, ""))
+
+
+def drop_note_added(text: Column, reason: Column) -> Column:
+    """The text with one note of why it was removed, in place of any that it had; without a reason none."""
+    plain = drop_note_removed(text)
+    return F.when(F.trim(F.coalesce(reason, F.lit(""))) == "", plain).otherwise(F.concat(plain, F.lit("\n$$ "), F.trim(reason), F.lit(" $$")))
+
+
+def drop_note_of(text: Column) -> Column:
+    """The note at the end of a text, empty if there is none."""
+    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), NOTE, 1))
 
 
 def alnum_only(c: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftmill.functions.text import glob_pattern
+
 
 def url_prefixes(urls: DataFrame) -> DataFrame:
     """Prefixes of one and two path segments, with the addresses below them and the depth that most of these have."""
@@ -40,3 +42,12 @@ def first_links(pages: DataFrame, most: int) -> DataFrame:
     """The first distinct links of each page."""
     first = links_of(pages).groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
     return first.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("rn") <= most).drop("rn")
+
+
+def glob_cover(urls: DataFrame, globs: list[str], candidate: Column, most_others: int = 2, least: int = 2) -> DataFrame:
+    """For each of a few globs: the addresses that match it, how many of them are no candidates, and whether it may be used:
+    it must cover at least so many candidates and hardly any other address."""
+    known = F.array(*[F.struct(F.lit(g).alias("glob"), F.lit(glob_pattern(g)).alias("pattern")) for g in globs])
+    rows = urls.select("url", candidate.alias("candidate"), F.explode(known).alias("g")).filter(F.expr("url RLIKE g.pattern"))
+    counts = rows.groupBy(F.col("g.glob").alias("glob")).agg(F.count(F.lit(1)).alias("matched"), F.count_if(~F.col("candidate")).alias("others"))
+    return counts.withColumn("usable", (F.col("others") <= most_others) & (F.col("matched") - F.col("others") >= least))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
+from siftmill.functions.dates import let
 from siftmill.functions.text import alnum_only, glob_pattern, squeezed, url_host, url_page
 from siftmill.functions.vocabulary import MARKERS, TERMS, hit, hit_by_language, pattern_of, terms_of
 
@@ -31,8 +27,9 @@ FEW_WORDS, MARKERS_OF_100 = 40, 8
 def work_location(text: Column, tag: Column, thin: Column, mode: str = "remote") -> Column:
     """Whether a posting suits the mode: remote, not_remote or any.
 
-    A platform's tag decides first. In remote mode a text that denies remote work or asks for the office goes, a thin
-    one stays, and one that is silent goes; not_remote mode drops what is only remote and keeps the silent.
+    A platform's tag decides first. In remote mode a text that denies remote work, asks for the office or for days in it
+    goes, a thin one stays, one that is silent goes, and so does one whose every mention of remote work is hedged;
+    not_remote mode drops what is only remote and keeps the silent.
     """
     if mode == "any":
         return F.lit(True)
@@ -40,40 +37,77 @@ def work_location(text: Column, tag: Column, thin: Column, mode: str = "remote")
     label, thin = F.lower(F.coalesce(tag, F.lit(""))), F.coalesce(thin, F.lit(False))
     if mode == "not_remote":
         return F.when(label == "remote", False).when(label.isin("hybrid", "on-site"), True).when(denied | on_site | thin, True).otherwise(~remote)
-    out = F.when(label.isin("hybrid", "on-site"), False).when(label == "remote", ~denied)
-    return out.when(~remote & on_site, False).when(denied, False).when(thin, True).otherwise(remote)
+    office = asks_office_days(text)
+    out = F.when(label.isin("hybrid", "on-site"), False).when(label == "remote", ~denied & ~office)
+    return out.when(~remote & on_site, False).when(denied | office, False).when(thin, True).when(~remote, False).otherwise(~only_hedged_remote(text))
 
 
-def windowed(find: str, void: str, before: int, after: int, need_all: bool):
-    """A test over all hits of a pattern: a hit is void if another pattern is found around it.
+def around_hits(text: Column, find: str, void: str, before: int, after: int, need_all: bool) -> Column:
+    """A test over all hits of a pattern: a hit is void if another pattern is found in the characters around it.
 
     True if some hit is not void, or with ``need_all`` if there are hits and each of them is void.
     """
-    hits, voids = re.compile(find), re.compile(void)
+    t = F.coalesce(text, F.lit(""))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("void"))
+
+    def over(parts: Column) -> Column:
+        hits, rest, whole = parts["hits"], parts["rest"], parts["text"]
+
+        def step(s: Column, k: Column) -> Column:
+            start = s["at"] + F.length(F.get(rest, k))
+            end = start + F.length(F.get(hits, k))
+            first = F.greatest(start - before, F.lit(0))
+            near = F.substr(whole, first + 1, end - first + after)
+            return F.struct(end.alias("at"), (s["n"] + 1).alias("n"), (s["void"] + near.rlike(void).cast("int")).alias("void"))
+
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step)
+        return F.when(F.size(hits) == 0, False).otherwise(let(walked, lambda w: (w["n"] == w["void"]) if need_all else (w["n"] > w["void"])))
+
+    return let(F.struct(F.regexp_extract_all(t, F.lit(find), F.lit(0)).alias("hits"), F.split(t, find).alias("rest"), t.alias("text")), over)
+
+
+def sql_around_hits(text: str, find: str, void: str, before: int, after: int, need_all: bool) -> str:
+    """The same test as DuckDB SQL."""
+    f, v = find.replace("'", "''"), void.replace("'", "''")
+    at = "CAST(list_sum(list_transform(rest[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS INTEGER)"
+    first = f"greatest({at} - {before}, 0)"
+    near = f"substr(t, {first} + 1, {at} + length(hits[k]) - {first} + {after})"
+    voids = f"len(list_filter(range(1, len(hits) + 1), lambda k: regexp_matches({near}, '{v}')))"
+    test = f"len(hits) > 0 AND {voids} = len(hits)" if need_all else f"len(hits) > {voids}"
+    return f"(SELECT {test} FROM (SELECT {text} AS t, regexp_extract_all({text}, '{f}') AS hits, string_split_regex({text}, '{f}') AS rest))"
+
+
+#: Rules that look around each hit: what is found, what voids it, how far before and after, and whether all must be void.
+REMOTE_HEDGED = (pattern_of(terms_of("remote")), pattern_of(terms_of("hedge")), 90, 40, True)
+OTHER_LANGUAGE = (pattern_of(terms_of("language_required")), pattern_of(terms_of("english")), 160, 160, False)
+OFFICE_DAYS = (r"(?:^|\D)[1-5]\s*(?:days?|tage?|jours?|d[ií]as?)\s+(?:a|per|in|pro|par|por|im|au|en)\s[^.]{0,30}(?:office|week|büro|woche|bureau|semaine|oficina|semana)|\d{1,3}\s*%\s*(?:in the office|on-?site|im büro)", r"hybrid (?:cloud|car|app)|days ago", 60, 60, False)
+MANY_YEARS = (r"(?:^|\D)(?:[3-9]|1\d)\s*(?:\+|or more|to \d+|[-–]\s*\d+)?\s*years?(?:$|[^a-z])", r"years? old|founded|since|not required|no experience|nice to have", 60, 60, False)
+
+
+def only_hedged_remote(text: Column) -> Column:
+    """Every mention of remote work has a hedge near it."""
+    return around_hits(text, *REMOTE_HEDGED)
 
-    @pandas_udf(BooleanType())
-    def test(texts: pd.Series) -> pd.Series:
-        def one(t):
-            found = [bool(voids.search(t, max(0, m.start() - before), m.end() + after)) for m in hits.finditer(t or "")]
-            return bool(found) and all(found) if need_all else not all(found)
 
-        return texts.map(one).astype("boolean")
+def asks_other_language(text: Column) -> Column:
+    """A language is asked for, and English is not named near it."""
+    return around_hits(text, *OTHER_LANGUAGE)
 
-    return test
 
+def asks_office_days(text: Column) -> Column:
+    """Days in the office are asked for, and nothing near tells of something else."""
+    return around_hits(text, *OFFICE_DAYS)
 
-def _plain(section: str) -> str:
-    return r"\b(?:" + "|".join(map(re.escape, terms_of(section))) + ")"
 
+def asks_years(text: Column) -> Column:
+    """Years of experience beyond a junior's are asked for, and the text around does not waive them or speak of an age."""
+    return around_hits(text, *MANY_YEARS)
 
-#: Every mention of remote work has a hedge near it.
-only_hedged_remote = windowed(_plain("remote"), _plain("hedge"), 90, 40, True)
-#: A language is asked for, and English is not named near it.
-asks_other_language = windowed(_plain("language_required"), _plain("english"), 160, 160, False)
-#: Days in the office are asked for, and nothing near tells of something else.
-asks_office_days = windowed(r"\b[1-5]\s*(?:days?|tage?|jours?|d[ií]as?)\s+(?:a|per|in|pro|par|por|im|au|en)\b[^.]{0,30}(?:office|week|büro|woche|bureau|semaine|oficina|semana)|\d{1,3}\s*%\s*(?:in the office|on-?site|im büro)", r"hybrid (?:cloud|car|app)|days ago", 60, 60, False)
-#: Years of experience beyond a junior's are asked for, and the sentence does not waive them or speak of an age.
-asks_years = windowed(r"\b(?:[3-9]|1\d)\s*(?:\+|or more|to \d+|[-–]\s*\d+)?\s*years?\b", r"years? old|founded|since|not required|no experience|nice to have", 60, 60, False)
+
+def silent_about_english(text: Column, language: Column, thin: Column) -> Column:
+    """A posting in another language whose own text never names English; thin ones and unknown languages are not silent."""
+    foreign = ~F.coalesce(language, F.lit("unknown")).isin("en", "unknown", "")
+    return ~F.coalesce(thin, F.lit(False)) & foreign & ~hit(text, "english")
 
 
 def english_density(text: Column) -> Column:
@@ -204,6 +238,27 @@ def category(title: Column, body: Column, employment: Column) -> Column:
     return out.when(word.contains("contract"), "Contract").when(word.contains("temp"), "Temporary").otherwise("Full-Time")
 
 
+def category_uncertain(title: Column, body: Column, employment: Column, language: Column) -> Column:
+    """Nothing told the category: no words, no kind of employment, and a text in a language other than English."""
+    t, b = squeezed(title), squeezed(body)
+    told = F.lit(False)
+    for text in (t, b):
+        for section in ("thesis", "phd", "internship", "part_time"):
+            told = told | hit(text, section)
+    return ~told & (F.trim(F.coalesce(employment, F.lit(""))) == "") & ~F.coalesce(language, F.lit("unknown")).isin("en", "unknown")
+
+
+def shown_category(category: Column, stage: Column) -> Column:
+    """The category as shown: blank ones are Other, those of start-ups say so."""
+    return F.concat(F.coalesce(F.nullif(F.trim(category), F.lit("")), F.lit("Other")), F.when(stage == "startup", " Startup").otherwise(""))
+
+
+def chrome_only(body: Column) -> Column:
+    """A text that holds a page's furniture only: empty, an index, or short and without a posting's words."""
+    text = F.coalesce(body, F.lit(""))
+    return F.when(F.trim(text) == "", True).when(is_index_text(text), True).when(F.length(text) >= 2400, False).otherwise(~posting_words(text))
+
+
 #: The order of the categories; others come after.
 CATEGORIES = ("Thesis", "PhD", "Internship", "Part-Time", "Full-Time")
 

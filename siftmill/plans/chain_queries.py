@@ -12,9 +12,13 @@ from siftmill.functions import vocabulary as V
 from siftmill.functions.dates import posted_at
 from siftmill.operators.links import proposed_globs
 from siftmill.operators.survivorship import module_dedup
+from siftmill.operators import predicates as P
+from siftmill.plans import posting_queries as PQ
+from siftmill.plans import table_queries as TQ
 from siftmill.plans.adapters import POSTINGS, postings, sql_squeezed
-from siftmill.plans.chains import Choices, accounting, module_reason, screened
-from siftmill.sources.normalise import SOURCES, normalised
+from siftmill.plans.chains import Choices, accounting_with_copies, cleaned_up, filtered, module_reason, screened
+from siftmill.plans.posting_queries import with_sentences
+from siftmill.sources.normalise import COLUMNS, SOURCES, WORKPLACES, normalised
 from siftmill.streaming.ingest import arrivals, collect_into, first_of_each, with_undated
 from siftmill.tables import scratch_path, table
 
@@ -32,23 +36,158 @@ def query(sql: str | None = None):
     return add
 
 
-@query(
-    """SELECT source AS company, lang AS location, 'http://x/' || doc_id AS url, CAST(n_chars AS VARCHAR) AS posted_raw, 'aggregator' AS platform,
-      nullif(trim(regexp_replace(regexp_replace(text, '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS description FROM documents"""
-)
-def sources_normalised(spark, sf_dir):
-    """Raw payloads, here each document as a source would send it, as rows of the common schema."""
-    d = table(spark, sf_dir, "documents")
-    item = F.struct(F.col("source").alias("company"), F.col("lang").alias("location"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("link"), F.col("n_chars").alias("updated"), F.col("text").alias("snippet"))
-    raw = d.select(F.to_json(F.struct(F.array(item).alias("jobs"))).alias("item"))
-    return normalised(raw, SOURCES["aggregator"]).select("company", "location", "url", "posted_raw", "platform", F.nullif("description", F.lit("")).alias("description"))
+CHOICES = Choices(mode="not_remote", countries=("United Kingdom", "Germany", "France"), sponsorship=("Yes",), fields=("of", "the", "der", "de"), days=45, floor=20)
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """Postings with what their sources would tell besides: a date, a sponsorship, a score, and sentences of postings."""
+    day = F.date_sub(F.lit("2024-02-01").cast("date"), (F.col("row_id") % 60).cast("int")).cast("string")
+    sponsor = F.element_at(F.array(F.lit(""), F.lit("Yes"), F.lit("No")), (F.col("row_id") % 3 + 1).cast("int"))
+    return with_sentences(postings(spark, sf_dir)).withColumns({"workplace": F.lit(None).cast("string"), "sponsorship": sponsor, "posted_raw": day, "score": (F.col("row_id") % 100).cast("int")})
+
+
+def _chain_sql() -> str:
+    full, text = PQ.FULL, sql_squeezed("description")
+    field = " OR ".join("(" + " AND ".join(f"regexp_matches({sql_squeezed('title')}, '{V.pattern_of([w])}')" for w in name.split()) + ")" for name in CHOICES.fields)
+    page = "lower(regexp_replace(url, '[?#].*$', ''))"
+    rules = [
+        ("field", f"NOT ({sql_squeezed('title')} = '' OR {field})"),
+        ("fake", f"CAST(trim(company) = '' AS INT) + CAST(length(trim(description)) < 50 AND NOT thin AS INT) + CAST(trim(url) = '' AS INT) + {PQ._SUSPICIOUS} >= 2"),
+        ("place", "country IS NULL OR country NOT IN ('United Kingdom', 'Germany', 'France')"),
+        ("sponsorship choice", "sponsorship NOT IN ('', 'Yes')"),
+        ("match", "score < 20"),
+        ("gone", f"{PQ._GONE} OR {PQ._INDEX}"),
+        ("editorial", f"CASE WHEN regexp_matches({page}, '{P.JOB_PATH}') THEN false ELSE regexp_matches({page}, '{P.EDITORIAL_PATH}') OR regexp_matches({sql_squeezed('title')}, '{P.EDITORIAL_TITLE}') END"),
+        ("date", "posted_days > 45"),
+        ("work location", f"NOT ({V.sql_hit(full, 'not_remote')} OR {V.sql_hit(full, 'on_site')} OR thin OR NOT {V.sql_hit(full, 'remote')})"),
+        ("silent about English", f"NOT thin AND coalesce(lang, 'unknown') NOT IN ('en', 'unknown', '') AND NOT {V.sql_hit(full, 'english')}"),
+        ("language", f"{V.sql_hit_by_language(full, 'lang', 'language_required')} OR {P.sql_around_hits(full, *P.OTHER_LANGUAGE)}"),
+        ("no sponsorship", V.sql_hit(full, "no_sponsorship")),
+        ("unpaid", V.sql_hit(full, "unpaid")),
+    ]
+    return f"""WITH {POSTINGS}, {PQ._SAID}, told AS (SELECT *, ['', 'Yes', 'No'][row_id % 3 + 1] AS sponsorship, row_id % 60 AS posted_days, row_id % 100 AS score,
+        row_number() OVER (PARTITION BY {text} ORDER BY length(description) DESC, row_id) AS copy_no FROM said),
+      reasons AS (SELECT CASE WHEN copy_no > 1 AND {text} <> '' THEN 'copy' {' '.join(f"WHEN {test} THEN '{name}'" for name, test in rules)} ELSE 'kept' END AS reason FROM told)
+      SELECT reason, count(*) AS n FROM reasons GROUP BY reason"""
+
+
+@query(_chain_sql())
+def filter_chain(spark, sf_dir):
+    """Best copies and every rule of the filter, its removals counted by the first that applies."""
+    return accounting_with_copies(asked(spark, sf_dir), CHOICES)
 
 
 @query()
-def filter_chain(spark, sf_dir):
-    """The whole filter in one plan, its removals counted by the first rule."""
-    p = postings(spark, sf_dir).withColumns({"workplace": F.lit(None).cast("string"), "sponsorship": F.lit(""), "posted_raw": F.lit(None).cast("string"), "score": F.lit(None).cast("int")})
-    return accounting(p, Choices(mode="any", countries=("United Kingdom", "Germany", "France"), fields=("of", "the", "der", "de")))
+def filter_whole(spark, sf_dir):
+    """C1 to its end: best copies, rules, greedy removal of like postings, order of the result."""
+    return filtered(asked(spark, sf_dir), Choices(countries=("United Kingdom", "Germany", "France"), days=45, floor=20)).select("row_id", "score", "category_order")
+
+
+_TEXT = "trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _cleanup_sql() -> str:
+    posting = f"len(regexp_extract_all(lower(body), '{V.pattern_of(V.terms_of('posting'))}')) >= 3"
+    index = f"(len(regexp_extract_all(body, '{PQ._TAG}')) >= {P.INDEX_TAGS} OR regexp_matches(substr(lower(body), 1, {P.INDEX_CHARS}), '{P.INDEX_PHRASE}'))"
+    chrome = f"CASE WHEN trim(body) = '' THEN true WHEN {index} THEN true WHEN length(body) >= 2400 THEN false ELSE NOT {posting} END"
+    gone = V.sql_hit(f"substr({sql_squeezed('body')}, 1, {P.GONE_CHARS})", "gone")
+    return f"""WITH p AS (SELECT page_id, url, html, {TQ._TITLE} AS title, {_TEXT} || ' Apply now. Requirements and salary.' AS body, page_id % 50 AS age,
+        CASE WHEN regexp_matches({TQ._TITLE}, '{TQ.one(P.COUNTED_TITLE)}') THEN true WHEN {TQ._SINGLE} THEN false ELSE regexp_matches({TQ._LOWPAGE}, '{P.LIST_END}') END OR page_id % 9 = 0 AS is_list FROM (SELECT page_id, html, CASE WHEN page_id % 9 = 0 THEN regexp_replace(url, '[?#].*$', '') || '/jobs/' ELSE url END AS url FROM pages)),
+      f AS (SELECT * FROM p WHERE age <= 30),
+      l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS pos FROM f WHERE is_list),
+      n AS (SELECT page_id, href, min(pos) AS pos FROM l WHERE href NOT IN ('/the', '/of') AND href NOT IN (SELECT url FROM p) GROUP BY ALL),
+      x AS (SELECT href, min(page_id) AS found_on FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM n) WHERE rn <= 3 GROUP BY href)
+      SELECT url, CAST(length(body) AS INTEGER) AS n_chars, CAST(NULL AS BIGINT) AS found_on FROM f WHERE NOT is_list AND NOT ({gone} OR {index}) AND NOT ({chrome})
+      UNION ALL SELECT href, 0, found_on FROM x"""
+
+
+@query(_cleanup_sql())
+def search_cleanup(spark, sf_dir):
+    """Stale pages go, index pages are replaced by their links, pages that are gone or hold furniture only go."""
+    p = table(spark, sf_dir, "pages")
+    url = F.when(F.col("page_id") % 9 == 0, F.concat(T.url_page(F.col("url")), F.lit("/jobs/"))).otherwise(F.col("url"))
+    posted = F.date_sub(F.lit("2024-02-01").cast("date"), (F.col("page_id") % 50).cast("int"))
+    body = F.concat(T.strip_html(F.col("html")), F.lit(" Apply now. Requirements and salary."))
+    rows = p.select("page_id", url.alias("url"), "html", T.squeezed(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), body.alias("body"), posted.alias("posted"))
+    known = spark.createDataFrame([("/the",), ("/of",)], "url string")
+    return cleaned_up(rows, known, "2024-02-01 00:00:00", 30, most_links=3).select("url", F.length("body").alias("n_chars"), "found_on")
+
+
+def _nested(values: dict[str, object]) -> object:
+    """Columns by JSON path as one struct: $.a.b[0].c is a field c in the first of a list b in a."""
+    tree: dict = {}
+    for path, value in values.items():
+        at = tree
+        keys = path.removeprefix("$.").split(".")
+        for key in keys[:-1]:
+            at = at.setdefault(key, {})
+        at[keys[-1]] = value
+
+    def build(node):
+        if not isinstance(node, dict):
+            return node
+        fields = []
+        for key, below in node.items():
+            name, bracket, _ = key.partition("[")
+            made = build(below)
+            fields.append((F.array(made) if bracket else made).alias(name))
+        return F.struct(*fields)
+
+    return build(tree)
+
+
+#: What the columns of a source hold in the queries below, in Spark and as SQL; the text comes with mark-up around it.
+_TOLD = {
+    "title": (lambda: F.concat(F.lit("Job "), F.col("doc_id").cast("string")), "'Job ' || doc_id"),
+    "company": (lambda: F.col("source"), "source"),
+    "location": (lambda: F.col("lang"), "lang"),
+    "country": (lambda: F.concat(F.lit("in "), F.col("lang")), "'in ' || lang"),
+    "posted_raw": (lambda: F.concat(F.lit("published on the day number "), F.col("n_chars").cast("string")), "'published on the day number ' || n_chars"),
+    "url": (lambda: F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")), "'http://x/' || doc_id"),
+    "description": (lambda: F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")), "trim(regexp_replace(regexp_replace('<p>' || text || '</p>', '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g'))"),
+    "employment_type": (lambda: F.lit("FULL TIME, permanent"), "'Full-time'"),
+    "workplace_type": (lambda: F.lit("hybrid work"), "'Hybrid'"),
+}
+
+
+def _source_query(name: str) -> None:
+    source = SOURCES[name]
+    given = {c: source.paths[c] for c in COLUMNS if c in source.paths and c not in source.fixed}
+    every = [p for paths in given.values() for p in paths]
+    # a path that others continue cannot hold a text as well, and one that columns share is given by the first of them
+    given = {c: [p for p in paths if not any(q.startswith(p + ".") for q in every)] for c, paths in given.items()}
+    lent = {c: paths for c, paths in given.items() if any(p in others for p in paths for o, others in given.items() if list(given).index(o) < list(given).index(c))}
+    given = {c: paths for c, paths in given.items() if c not in lent}
+
+    def run(spark, sf_dir):
+        d = table(spark, sf_dir, "documents")
+        # documents take turns at the paths of a column, some leave all but the address out, some answers are broken
+        values = {path: F.when((F.col("doc_id") % len(paths) == k) & ((F.col("doc_id") % 10 != 3) | F.lit(c == "url")), _TOLD[c][0]()) for c, paths in given.items() for k, path in enumerate(paths)}
+        item = _nested(values | ({source.needs: _TOLD["url"][0]()} if source.needs else {}))
+        whole = F.array(item) if source.items.endswith("[*]") else item
+        for key in reversed([p for p in source.items.removesuffix("[*]").removeprefix("$").split(".") if p]):
+            whole = F.struct(whole.alias(key))
+        raw = d.select(F.when(F.col("doc_id") % 17 == 0, F.lit("{broken")).otherwise(F.to_json(whole)).alias("item"))
+        out = normalised(raw, source).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in COLUMNS], "platform", "thin", F.col("problem").isNotNull().alias("problem"))
+        return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("n"))
+
+    def sql_value(c: str) -> str:
+        if c in source.fixed:
+            return f"'{WORKPLACES.get(source.fixed[c], source.fixed[c])}' AS {c}"
+        if c in lent:  # read where its own path is empty, as here, from the column that it shares one with
+            c, name = next(o for o in given if set(given[o]) & set(lent[c])), c
+            return sql_value(c).removesuffix(f" AS {c}") + f" AS {name}"
+        left_out = "false" if c == "url" else "doc_id % 10 = 3"
+        return f"CASE WHEN doc_id % 17 = 0 OR {left_out} THEN '' ELSE coalesce({_TOLD[c][1]}, '') END AS {c}" if c in given else f"'' AS {c}"
+
+    run.__name__ = f"source_{name}"
+    run.__doc__ = f"S1 to S9: payloads of {name} as rows of the common schema; broken ones are told apart, none is lost."
+    QUERIES[run.__name__] = run
+    ORACLES[run.__name__] = f"""SELECT *, count(*) AS n FROM (SELECT {', '.join(map(sql_value, COLUMNS))}, '{name}' AS platform, {str(source.thin).lower()} AS thin, doc_id % 17 = 0 AS problem FROM documents) GROUP BY ALL"""
+
+
+for _name in SOURCES:
+    _source_query(_name)
 
 
 _FULL = f"{sql_squeezed('title')} || ' ' || {sql_squeezed('description')}"

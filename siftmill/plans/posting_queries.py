@@ -40,9 +40,10 @@ def full_text(p: DataFrame):
 
 @query(
     f"""SELECT row_id,
-      CASE WHEN NOT r AND o THEN false WHEN d THEN false WHEN thin THEN true ELSE r END AS keep_remote,
+      CASE WHEN NOT r AND o THEN false WHEN d OR days THEN false WHEN thin THEN true WHEN NOT r THEN false ELSE NOT hedged END AS keep_remote,
       CASE WHEN d OR o OR thin THEN true ELSE NOT r END AS keep_not_remote
-    FROM (SELECT row_id, thin, {SELLS(FULL, 'remote')} AS r, {SELLS(FULL, 'on_site')} AS o, {SELLS(FULL, 'not_remote')} AS d FROM postings)"""
+    FROM (SELECT row_id, thin, {SELLS(FULL, 'remote')} AS r, {SELLS(FULL, 'on_site')} AS o, {SELLS(FULL, 'not_remote')} AS d,
+      {P.sql_around_hits(FULL, *P.OFFICE_DAYS)} AS days, {P.sql_around_hits(FULL, *P.REMOTE_HEDGED)} AS hedged FROM postings)"""
 )
 def work_location(spark, sf_dir):
     """Which postings suit remote and not-remote mode."""
@@ -327,8 +328,21 @@ def age_and_windows(spark, sf_dir):
     return rows.select("o_orderkey", age_days(posted, now).alias("age"), within_window(posted, now, 365).alias("in_window"), not_stale(posted, now, 365).alias("not_stale"))
 
 
-@query()
+_RULES = (("hedged", P.only_hedged_remote, P.REMOTE_HEDGED), ("other_language", P.asks_other_language, P.OTHER_LANGUAGE), ("office_days", P.asks_office_days, P.OFFICE_DAYS), ("years", P.asks_years, P.MANY_YEARS))
+#: Documents are invented prose: sentences of postings are put to some of them, by their number.
+SENTENCES = ("fully remote after probation, up to 3 days a week in the office.", "fluent german is a must, english is a plus.", "fluent german. 3 days per week in the office.", "5+ years of experience required.", "4 years old company, remote possible after a year.", "")
+
+
+def with_sentences(p: DataFrame) -> DataFrame:
+    return p.withColumn("description", F.concat("description", F.lit(" "), F.element_at(F.array(*map(F.lit, SENTENCES)), (F.col("row_id") % len(SENTENCES) + 1).cast("int"))))
+
+
+_SAID = f"said AS (SELECT * REPLACE (description || ' ' || {list(SENTENCES)}[row_id % {len(SENTENCES)} + 1] AS description) FROM postings)"
+
+
+@query(f", {_SAID} SELECT lang, " + ", ".join(f"CAST(count_if({P.sql_around_hits(sql_squeezed('description'), *rule)}) AS BIGINT) AS {name}" for name, _, rule in _RULES) + " FROM said GROUP BY lang")
 def sentence_rules(spark, sf_dir):
     """Rules that look around each hit, by language."""
     text = T.squeezed(F.col("description"))
-    return postings(spark, sf_dir).select("lang", P.only_hedged_remote(text).alias("h"), P.asks_other_language(text).alias("l"), P.asks_office_days(text).alias("o"), P.asks_years(text).alias("y")).groupBy("lang").agg(*[F.sum(F.col(c).cast("int")).alias(n) for c, n in (("h", "hedged"), ("l", "other_language"), ("o", "office_days"), ("y", "years"))])
+    p = with_sentences(postings(spark, sf_dir)).select("lang", *[test(text).alias(name) for name, test, _ in _RULES])
+    return p.groupBy("lang").agg(*[F.count_if(F.col(name)).alias(name) for name, *_ in _RULES])

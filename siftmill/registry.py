@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.plans import best_copy, chain_queries, posting_queries, table_queries
+from siftmill.plans import best_copy, chain_queries, detail_queries, posting_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = best_copy.QUERIES | posting_queries.QUERIES | table_queries.QUERIES | chain_queries.QUERIES
-ORACLES: dict[str, str] = best_copy.ORACLES | posting_queries.ORACLES | table_queries.ORACLES | chain_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = best_copy.QUERIES | posting_queries.QUERIES | table_queries.QUERIES | chain_queries.QUERIES | detail_queries.QUERIES
+ORACLES: dict[str, str] = best_copy.ORACLES | posting_queries.ORACLES | table_queries.ORACLES | chain_queries.ORACLES | detail_queries.ORACLES

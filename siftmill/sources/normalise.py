@@ -44,6 +44,10 @@ SOURCES = {
         Source("aggregator", "$.jobs[*]", _paths(title="$.title", company="$.company", location="$.location", posted_raw="$.updated", url="$.link", description="$.snippet"), thin=True),
         Source("uk_board", "$.results[*]", _paths(title="$.jobTitle", company="$.employerName", location="$.locationName", posted_raw="$.date", url="$.jobUrl $.jobId", description="$.jobDescription"), fixed={"country": "United Kingdom"}),
         Source("remote_board", "$.jobs[*]", _paths(title="$.title $.position", company="$.company_name $.company", location="$.candidate_required_location $.location", posted_raw="$.publication_date $.date", url="$.url", description="$.description"), fixed={"workplace_type": "remote"}),
+        Source("fr_board", "$.resultats[*]", _paths(title="$.intitule", company="$.entreprise.nom", location="$.lieuTravail.libelle", posted_raw="$.dateCreation", url="$.origineOffre.urlOrigine $.id", description="$.description $.intitule"), needs="$.id", fixed={"country": "France"}),
+        Source("eu_board", "$.jvs[*]", _paths(title="$.title", company="$.employer.name", posted_raw="$.creationDate", url="$.id", description="$.description $.title"), needs="$.id"),
+        Source("remote_list", "$[*]", _paths(title="$.position", company="$.company", location="$.location", country="$.location", posted_raw="$.date", url="$.url", description="$.description $.position"), needs="$.id"),
+        Source("dev_board", "$[*]", _paths(title="$.name", company="$.company", location="$.actualCity $.cityCategory", posted_raw="$.activeFrom", url="$.jobUrl", description="$.name"), thin=True, needs="$.jobUrl", fixed={"country": "Switzerland"}),
         Source("ch_board", "$.documents[*]", _paths(title="$.title", company="$.company.name", location="$.place", posted_raw="$.publicationDate", url="$.id"), thin=True, fixed={"country": "Switzerland"}),
         Source("network", "$[*]", _paths(title="$.title $.job_title", company="$.companyName $.company.name", location="$.location", posted_raw="$.postedAt $.posted_date", url="$.link $.url", description="$.descriptionText $.descriptionHtml", employment_type="$.employmentType $.job_insights", workplace_type="$.workplaceType $.workRemoteAllowed")),
         Source("portal", "$[*]", _paths(title="$.positionName $.title", company="$.company", location="$.location.formatted $.location.city $.location", country="$.location.country $.country", posted_raw="$.postingDateParsed $.postedAt", url="$.url", description="$.description $.descriptionHTML", employment_type="$.jobType")),
@@ -71,7 +75,8 @@ def normalised(raw: DataFrame, source: Source, item: str = "item") -> DataFrame:
     def value(column: str) -> Column:
         if column in source.fixed:
             return F.lit(source.fixed[column])
-        found = [F.try_variant_get("_i", p, "string") for p in source.paths.get(column, ())]
+        texts = [F.try_variant_get("_i", p, "string") for p in source.paths.get(column, ())]
+        found = [F.when(~t.rlike(r"(?s)^\{.*\}$"), t) for t in texts]  # an object is no text
         return first_present(*found) if found else F.lit(None).cast("string")
 
     out = rows.select("*", *[value(c).alias(c) for c in COLUMNS])

@@ -363,6 +363,37 @@ def test_filter_chain_golden_idempotent_and_monotone(spark):
     assert all(survivors[b] <= survivors[a] for a in survivors for b in survivors if a < b)
 
 
+def test_whole_filter_removes_copies_and_sorts(spark):
+    from siftmill.plans.chains import Choices, accounting_with_copies, filtered
+
+    rows = pool(spark).withColumn("url", F.concat(F.lit("http://a/jobs/"), F.col("row_id").cast("string")))
+    again = rows.filter("row_id IN (0, 1)").withColumns({"row_id": F.col("row_id") + 20, "url": F.concat("url", F.lit("?from=mail"))})
+    other = rows.filter("row_id = 0").withColumns({"row_id": F.lit(40), "url": F.lit("http://b/jobs/1"), "description": F.concat("description", F.lit(" Apply."))})
+    every = rows.unionByName(again).unionByName(other).withColumn("score", F.when(F.col("row_id") == 1, 90).otherwise(F.col("score")))
+    choices = Choices(countries=("Germany",), days=60, floor=50)
+    counts = {r["reason"]: r["n"] for r in accounting_with_copies(every, choices).collect()}
+    assert counts["copy"] == 4 and counts["kept"] == 3  # two addresses, and two texts of 5, 7 and 8
+    # 0 and 40 are like postings: the longer one stays, and the scored one comes first
+    out = [r["row_id"] for r in filtered(every, choices).collect()]
+    assert set(out) <= {1, 40} and out and out[0] == (1 if 1 in out else 40)
+    assert filtered(every.filter("row_id < 0"), choices).count() == 0
+
+
+def test_clean_up_replaces_index_pages_by_their_links(spark):
+    from siftmill.plans.chains import cleaned_up
+
+    words = "Requirements, responsibilities and salary; apply now. "
+    links = "".join(f'<a href="http://a/jobs/{k}">x</a>' for k in range(1, 9))
+    data = [
+        (1, "http://a/jobs/", links, "8 jobs", words, "2024-01-30"), (2, "http://a/jobs/1234", "", "One", words, "2024-01-30"), (3, "http://a/jobs/99999", "", "Old", words, "2023-01-30"),
+        (4, "http://a/jobs/5678", "", "Gone", words + "This position has been filled", None), (5, "http://a/jobs/4321", "", "Thin", "menu", None), (6, "http://a/jobs/8", "", "Eight", words, None),
+    ]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, title string, body string, posted string")
+    known = spark.createDataFrame([("http://a/jobs/2",)], "url string")
+    out = {r["url"]: r["found_on"] for r in cleaned_up(pages, known, "2024-02-01 00:00:00", 30, most_links=5).collect()}
+    assert out == {"http://a/jobs/1234": None, "http://a/jobs/8": None, **{f"http://a/jobs/{k}": 1 for k in (1, 3, 4, 5, 6)}}
+
+
 def test_screening_needs_a_real_quote(spark):
     from siftmill.plans.chains import module_reason, screened
 
