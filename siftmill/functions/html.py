@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 
@@ -16,19 +17,34 @@ SKIPPED = frozenset("script style nav footer header noscript form aside template
 STRUCTURED = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.S | re.I)
 
 
+#: Fixed values of HTML: elements without content.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
 class _Text(HTMLParser):
+    """Readable text. An element that is skipped ends with itself or with any element that stands around it, so that one
+    that is never closed takes no more than its surroundings."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
+        self.open, self.counts, self.skipping, self.parts = [], Counter(), 0, []
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in SKIPPED
+        if tag not in VOID:
+            self.open.append(tag)
+            self.counts[tag] += 1
+            self.skipping += tag in SKIPPED
 
     def handle_endtag(self, tag):
-        self.depth -= tag in SKIPPED and self.depth > 0
+        while self.counts[tag]:
+            last = self.open.pop()
+            self.counts[last] -= 1
+            self.skipping -= last in SKIPPED
+            if last == tag:
+                break
 
     def handle_data(self, data):
-        if not self.depth:
+        if not self.skipping:
             self.parts.append(data)
 
 

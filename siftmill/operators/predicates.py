@@ -110,9 +110,9 @@ def silent_about_english(text: Column, language: Column, thin: Column) -> Column
     return ~F.coalesce(thin, F.lit(False)) & foreign & ~hit(text, "english")
 
 
-def english_density(text: Column) -> Column:
+def english_density(text: Column, squeezed_already: bool = False) -> Column:
     """English by its function words: texts of under 40 words count as English, else 8 of 100 words must be markers."""
-    words = F.filter(F.split(squeezed(text), "[^a-z]+"), lambda w: w != "")
+    words = F.filter(F.split(text if squeezed_already else squeezed(text), "[^a-z]+"), lambda w: w != "")
     n = F.size(words)
     return (n < FEW_WORDS) | (F.size(F.filter(words, lambda w: w.isin(*MARKERS["en"]))) * 100 >= n * MARKERS_OF_100)
 
@@ -139,8 +139,8 @@ def is_gone(body: Column) -> Column:
     return says_gone(body) | is_index_text(body)
 
 
-def says_gone(body: Column) -> Column:
-    return hit(F.substring(squeezed(body), 1, GONE_CHARS), "gone")
+def says_gone(body: Column, squeezed_already: bool = False) -> Column:
+    return hit(F.substring(body if squeezed_already else squeezed(body), 1, GONE_CHARS), "gone")
 
 
 def is_index_text(body: Column) -> Column:
@@ -226,9 +226,9 @@ def on_board(url: Column, brands: list[str]) -> Column:
     return out
 
 
-def category(title: Column, body: Column, employment: Column) -> Column:
+def category(title: Column, body: Column, employment: Column, squeezed_already: bool = False) -> Column:
     """Thesis, PhD, Internship or Part-Time by title, then by body, then by the platform's word, else Full-Time."""
-    t, b = squeezed(title), squeezed(body)
+    t, b = (title, body) if squeezed_already else (squeezed(title), squeezed(body))
     names = (("Thesis", "thesis"), ("PhD", "phd"), ("Internship", "internship"), ("Part-Time", "part_time"))
     out = F.when(F.lit(False), F.lit(""))
     for text in (t, b):

@@ -48,8 +48,8 @@ def full_text(p: DataFrame):
 def work_location(spark, sf_dir):
     """Which postings suit remote and not-remote mode."""
     p = postings(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    return p.select("row_id", P.work_location(full_text(p), none, F.col("thin"), "remote").alias("keep_remote"), P.work_location(full_text(p), none, F.col("thin"), "not_remote").alias("keep_not_remote"))
+    p, none, text = p.select("row_id", "thin", full_text(p).alias("text")), F.lit(None).cast("string"), F.col("text")
+    return p.select("row_id", P.work_location(text, none, F.col("thin"), "remote").alias("keep_remote"), P.work_location(text, none, F.col("thin"), "not_remote").alias("keep_not_remote"))
 
 
 @query(
@@ -144,12 +144,12 @@ _SENIORITY = f"""CASE WHEN regexp_matches({_T}, '{V.pattern_of(["lead", "head of
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    p = postings(spark, sf_dir)
+    p = postings(spark, sf_dir).withColumns({"text": T.squeezed(F.col("description")), "head": T.squeezed(F.col("title"))})
     return p.withColumns({
-        "category": P.category(F.col("title"), F.col("description"), F.lit("")),
+        "category": P.category(F.col("head"), F.col("text"), F.lit(""), squeezed_already=True),
         "seniority": P.seniority(F.col("title"), F.lit("")),
-        "english": P.english_need(T.squeezed(F.col("description")), F.col("lang")),
-    })
+        "english": P.english_need(F.col("text"), F.col("lang")),
+    }).drop("text", "head")
 
 
 _LABELLED = f"""labelled AS (SELECT *, {_CATEGORY} AS category, {_SENIORITY} AS seniority,
@@ -181,7 +181,7 @@ def placed(rows: DataFrame, leading: list[str], last: str, slices: int = 64) ->
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(last))
-    return cut.withColumn("_i", inside).join(F.broadcast(sizes), keys).withColumn("place", F.col("_before") + F.col("_i")).drop("_s", "_n", "_i", "_before")
+    return cut.withColumn("_i", inside).join(sizes, keys).withColumn("place", F.col("_before") + F.col("_i")).drop("_s", "_n", "_i", "_before")
 
 
 _FACETS = ("platform", "country", "lang", "category", "seniority", "english")
@@ -212,21 +212,21 @@ _REASONS = [
 ]
 
 
-def drop_reason(p: DataFrame):
-    """The first rule that drops a posting, or null."""
-    text = T.squeezed(F.col("description"))
+def drop_reason(p: DataFrame) -> DataFrame:
+    """``p`` with the first rule that drops a posting, or null; the text is made ready once for all rules."""
+    text = F.col("text")
     rules = [
-        ("gone", P.is_gone(F.col("description"))),
+        ("gone", P.says_gone(text, squeezed_already=True) | P.is_index_text(F.col("description"))),
         ("place", ~P.in_places(F.col("country"), ["United Kingdom", "Germany", "France"])),
         ("language", V.hit_by_language(text, F.col("lang"), "language_required")),
         ("sponsorship", V.hit(text, "no_sponsorship")),
         ("unpaid", V.hit(text, "unpaid")),
-        ("not English", ~P.english_density(F.col("description"))),
+        ("not English", ~P.english_density(text, squeezed_already=True)),
     ]
     out = F.when(F.lit(False), F.lit(""))
     for name, test in rules:
         out = out.when(test, name)
-    return out
+    return p.withColumn("text", T.squeezed(F.col("description"))).withColumn("drop_reason", out)
 
 
 _CHAIN = f"""chain AS (SELECT *, CASE {' '.join(f"WHEN {test} THEN '{name}'" for name, test in _REASONS)} END AS drop_reason
@@ -237,14 +237,14 @@ _CHAIN = f"""chain AS (SELECT *, CASE {' '.join(f"WHEN {test} THEN '{name}'" for
 def drop_reason_chain(spark, sf_dir):
     """Every posting with the first rule that drops it."""
     p = postings(spark, sf_dir)
-    return p.select("row_id", drop_reason(p).alias("drop_reason"))
+    return drop_reason(p).select("row_id", "drop_reason")
 
 
 @query(f", {_CHAIN} SELECT coalesce(drop_reason, 'kept') AS reason, country, count(*) AS n FROM chain GROUP BY ALL")
 def removals_by_reason(spark, sf_dir):
     """A3: postings by first reason and country."""
     p = postings(spark, sf_dir)
-    return p.select("country", F.coalesce(drop_reason(p), F.lit("kept")).alias("reason")).groupBy("reason", "country").agg(F.count(F.lit(1)).alias("n"))
+    return drop_reason(p).select("country", F.coalesce("drop_reason", F.lit("kept")).alias("reason")).groupBy("reason", "country").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BITS = [("remote", V.sql_hit(FULL, "remote")), ("posting", V.sql_hit(FULL, "posting")), ("english", f"len(w) < 40 OR len(list_filter(w, lambda x: x IN ({_MARKS}))) * 100 >= len(w) * 8"), ("thick", "NOT thin")]
