@@ -158,6 +158,15 @@ def test_similarities():
     for _ in range(300):
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(2))
         assert common_subsequence(a, b) == slow(a, b)
+    from siftmill.functions.similarity import common_subsequence_from
+
+    for _ in range(300):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))
+        b = "".join(c if rng.random() < 0.8 else rng.choice("abcd") for c in a)[: rng.randint(0, 60)]
+        whole, least = common_subsequence(a, b), rng.randint(0, 60)
+        for strip in (1, 7, 192):
+            got = common_subsequence_from(a, b, least, strip)
+            assert got == whole if whole >= least else got < least
     assert ratio("", "") == 100 and ratio("ab", "ab") == 100 and ratio("ab", "cd") == 0
     assert token_set("a b c", "c b") == 100 and token_set("", "a") == 0
 
