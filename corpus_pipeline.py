@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import stored, table
+from siftmill.llm.common import free_name, stored, table
 from siftmill.llm.exact_dedup import exact_dedup
 from siftmill.llm.mixing import mixed
 from siftmill.llm.near_dedup import near_dedup
@@ -22,14 +22,16 @@ ACCEPT = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, into="quality_score").filter(F.col("quality_score") >= ACCEPT).select(*docs.columns)
+    score = free_name(docs, "quality_score")
+    return scored(docs, model, into=score).filter(F.col(score) >= ACCEPT).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text, the one that stays; rows are told apart by their places, not by their ids."""
     kept = stored(exact_dedup(docs).filter("kept").select("locator"), "kept")
     place = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
-    return docs.select("*", place.alias("_locator")).join(kept.withColumnRenamed("locator", "_locator"), "_locator", "left_semi").select(*docs.columns)
+    name = free_name(docs, "place")
+    return docs.select("*", place.alias(name)).join(kept.withColumnRenamed("locator", name), name, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that every source has the same weight, in random order."""
-    return mixed(docs).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("doc"), "doc_id", "source")  # so that no column takes the name of one of the mixture's
+    return mixed(whole).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
