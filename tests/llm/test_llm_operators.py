@@ -640,3 +640,52 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     assert sorted(near["doc_id"]) == [d for d, f in zip(ordered["doc_id"], force, strict=True) if f[3]]
     assert set(mix["doc_id"]) <= set(near["doc_id"]) and mix["doc_id"].value_counts().to_dict() == pack[pack["start"] == 0]["doc_id"].value_counts().to_dict()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pack)
+
+
+def odd_tables(spark, folder, empty):
+    """The four tables with nulls in every column, repeated rows, and columns whose names the operators use themselves."""
+    rng = random.Random(40)
+    clash = [F.lit(k).alias(k) for k in ("id", "score", "kept", "digest", "found", "place", "quality_score", "locator", "bin_id", "n_tokens", "component_id", "labels", "html_text")]
+    say = lambda: " ".join(rng.choice(WORDS) for _ in range(30)) + "."
+    docs = [(k, say() if k % 4 else f"{rng.choice(WORDS).upper()}!! " * 30, "en" if k % 2 else "de", f"s{k % 3}", None) for k in range(60)]
+    docs += [(None, say(), None, None, None), (60, None, "en", "s0", 1), (61, "", None, None, None), docs[1], docs[1], (62, docs[1][1], "en", "s1", 2), (None, docs[1][1], "en", None, None)]
+    tables = {
+        "documents": spark.createDataFrame(docs, DOCS),
+        "labels": spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(60)] + [(None, 1, 0), (1, None, None), (1, 1, 1)], "doc_id long, quality int, toxic int"),
+        "pages": spark.createDataFrame([(k, f"http://x/{k}", f"<article><p>{say()}</p></article>") for k in range(12)] + [(None, None, None), (12, "", ""), (3, "http://x/3", "<p>again")], "page_id long, url string, html string"),
+        "embeddings": spark.createDataFrame([(k, [rng.random() for _ in range(4)], k % 2) for k in range(20)] + [(None, [1.0] * 4, 1), (20, None, None), (21, [0.0] * 4, 1)], "vec_id long, embedding array<float>, label int"),
+    }
+    for name, df in tables.items():
+        (df.filter(F.lit(not empty))).select("*", *[c for c in clash]).repartition(2).write.parquet(f"{folder}/{name}.parquet")
+    return {name: 0 if empty else df.count() for name, df in tables.items()}
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_every_query_on_odd_and_empty_tables(spark, tmp_path, empty):
+    from siftmill.llm.registry import QUERIES
+
+    n = odd_tables(spark, tmp_path, empty)
+    reads = {"op6_warc": "pages", "op8_html_extract": "pages", "op7_embedding_dedup": "embeddings"}
+    for name, query in QUERIES.items():
+        out = query(spark, str(tmp_path)).collect()
+        if name not in ("op5_mixing", "op9_packing"):
+            assert len(out) == n[reads.get(name, "documents")], name
+        elif empty:
+            assert not out, name
+        else:
+            assert {r["doc_id"] for r in out} <= {*range(63), None} and len(out) > 30, name
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    odd_tables(spark, tmp_path, empty)
+    here = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = here.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, here, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        here = spark.read.parquet(f"{tmp_path}/stage{k}")
+        if k < 4:
+            assert here.columns == names and here.filter("quality_score <> 'quality_score' OR place <> 'place'").count() == 0
+    assert (here.count() == 0) == empty
