@@ -242,7 +242,13 @@ def date_ladder(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", posted_at(raw, F.lit("2024-01-01").cast("timestamp")).alias("posted"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS path FROM pages),
+    s AS (SELECT string_split(trim(path, '/'), '/') AS seg FROM p WHERE trim(path, '/') <> ''),
+    x AS (SELECT unnest([1, 2]) AS depth, seg FROM s), z AS (SELECT depth, array_to_string(seg[1:depth], '/') AS prefix, len(seg) AS n_seg, count(*) AS n FROM x WHERE len(seg) >= depth GROUP BY ALL),
+    u AS (SELECT prefix, depth, CAST(sum(n) AS BIGINT) AS support, max_by(n_seg, (n, n_seg)) AS usual FROM z GROUP BY prefix, depth)
+    SELECT '**/' || prefix || repeat('/*', CAST(greatest(usual - depth, 1) AS BIGINT)) AS glob, support, CAST(depth AS INTEGER) AS depth FROM u WHERE support >= greatest(2, depth + 1) ORDER BY depth, support DESC, 1 LIMIT 8"""
+)
 def glob_proposals(spark, sf_dir):
     """Globs for a pool of addresses."""
     return proposed_globs(table(spark, sf_dir, "pages").select("url"))
