@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.operators.links import links_of
-from siftmill.operators.survivorship import piece_pairs
+from siftmill.operators.survivorship import few_edits, piece_pairs
 
 
 def fuzzy_register(names: DataFrame, register: DataFrame, name: str, legal: str, similarity, least: float) -> DataFrame:
@@ -26,7 +26,7 @@ def fuzzy_register(names: DataFrame, register: DataFrame, name: str, legal: str,
     left, right = rest.select(F.col(name).alias("s")).distinct(), register.select(F.col(legal).alias("s")).distinct()
     pairs = piece_pairs(left, right, least).toDF(name, legal).unionByName(piece_pairs(right, left, least).toDF(legal, name)).distinct()
     n, m = F.length(name), F.length(legal)
-    near = pairs.filter((m * (2 - least) >= n * least) & (n * (2 - least) >= m * least)).withColumn("similarity", similarity(name, legal)).filter(F.col("similarity") >= least)
+    near = pairs.filter((m * (2 - least) >= n * least) & (n * (2 - least) >= m * least)).filter(few_edits(name, legal, least)).withColumn("similarity", similarity(name, legal)).filter(F.col("similarity") >= least)
     best = near.groupBy(name).agg(F.max_by(legal, F.struct("similarity", legal)).alias(legal), F.max("similarity").alias("similarity"))
     return exact.unionByName(best)
 
