@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmill.llm import collocations, embedding_dedup, exact_dedup, html_extract, langid, mixing, near_dedup, packing, quality, token_counts, warc
+from siftmill.llm import collocations, embedding_dedup, exact_dedup, hard_negatives, html_extract, langid, mixing, near_dedup, packing, quality, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
@@ -23,5 +24,6 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op13_collocations": collocations.ORACLE,
 }
