@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmill.llm import collocations, embedding_dedup, exact_dedup, hard_negatives, html_extract, langid, mixing, near_dedup, packing, quality, token_counts, warc
+from siftmill.llm import collocations, embedding_dedup, exact_dedup, hard_negatives, html_extract, langid, mixing, near_dedup, packing, pii, quality, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_pii": pii.op12_pii,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
