@@ -26,14 +26,30 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of one Parquet relation: columns and conditions over a scan, nothing that
+    repeats rows or draws them. Only then does a row's place in its file tell it from all others."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in plan.relation().getClass().getName():
+        return False
+    roots = plan.relation().location().rootPaths()
+    return roots.distinct().size() == roots.size()  # a path given twice is read twice
+
+
 def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and locator of every row: file and row of a Parquet table, to which ``docs`` is written if it is no scan."""
     narrow = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
     locator = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("locator")
-    try:
-        return docs.select(*narrow, locator)
-    except AnalysisException:
-        return stored(docs.select(*narrow), "texts").select("id", "text", locator)
+    if is_scan(docs):
+        try:
+            return docs.select(*narrow, locator)
+        except AnalysisException:  # a file format without row numbers, or columns that hide the scan's own
+            pass
+    return stored(docs.select(*narrow), "texts").select("id", "text", locator)
 
 
 def fingerprints(texts: DataFrame, digest=None) -> DataFrame:

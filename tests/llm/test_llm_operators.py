@@ -71,6 +71,34 @@ def test_exact_dedup_repeated_rows_no_ids_and_no_rows(spark, tmp_path):
         assert sorted((r["id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, -1, 2, False), (-1, -1, 2, True), (-1, -1, 2, True), (-1, 1, 2, False), (1, 1, 2, True), (3, -1, 2, False)]
 
 
+def test_exact_dedup_of_tables_that_are_no_plain_scan(spark, tmp_path):
+    from siftmill.llm.exact_dedup import exact_dedup, is_scan
+
+    path = f"{tmp_path}/d.parquet"
+    documents(spark, ["a", "b", "a"]).write.parquet(path)
+    scan = spark.read.parquet(path)
+    keys = spark.createDataFrame([("en",), ("en",)], "lang string")
+    tables = {
+        "explode": scan.select("doc_id", F.explode(F.array("text", F.lit("a"))).alias("text")),
+        "union": scan.unionByName(scan),
+        "join": scan.join(keys, "lang"),
+        "twice": spark.read.parquet(path, path),
+        "drawn": scan.sample(True, 3.0, 5),
+        "limit": scan.limit(2),
+        "filtered": scan.filter("doc_id > 0").withColumn("text", F.upper("text")),
+        "renamed": scan.selectExpr("doc_id", "text", "lang AS _metadata"),
+    }
+    assert [is_scan(t) for t in tables.values()] == [False] * 6 + [True] * 2 and is_scan(scan)
+    for name, df in tables.items():
+        want = sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+        got = exact_dedup(df).collect()
+        by_text = {}
+        for doc_id, text in want:
+            by_text.setdefault(text, []).append(doc_id)
+        assert sorted((r["id"], r["group_size"]) for r in got) == sorted((i, len(ids)) for ids in by_text.values() for i in ids), name
+        assert sum(r["kept"] for r in got) == len(by_text), name
+
+
 def test_exact_dedup_locators_can_be_followed(spark, tmp_path):
     from siftmill.llm.exact_dedup import exact_dedup
 
@@ -170,6 +198,17 @@ def test_near_dedup_no_rows_no_words_no_ids_and_repeated_ids(spark):
     assert sorted((r["id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in got) == [(-1, 2, -1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 3, True)]
 
 
+def test_near_dedup_of_one_id_with_several_texts(spark):
+    from siftmill.llm.near_dedup import near_dedup
+
+    rng = random.Random(6)
+    a, b = (" ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60)) for _ in range(2))
+    table = [(5, a), (5, b), (6, a + " end"), (7, b + " end")]
+    for order in itertools.permutations(table):
+        got = near_dedup(spark.createDataFrame(list(order), "doc_id long, text string").coalesce(1))
+        assert rows(got, "id", "component_id", "kept") == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False)]
+
+
 def test_blocks_of_a_bucket_leave_no_pair_out(spark):
     import pyarrow as pa
 
