@@ -143,9 +143,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = [s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets]
                 samples = samples_of(full)
-                flat = np.concatenate(full)
-                starts = np.r_[0, np.cumsum([len(s) for s in full])[:-1]]
-                sums = [np.add.reduceat(mix(flat, salt), starts).view(np.int64) for salt in (1, 2)]
+                sums = digests(sets)
                 yield pa.RecordBatch.from_arrays(
                     [ids[part.start : part.stop], pa.array(sizes), *map(pa.array, sums), _lists(band_keys(samples), BANDS), _lists(odd_sketches(full), SKETCH_BITS // 64)],
                     names=["id", "n_shingles", "digest_a", "digest_b", "bands", "sketch"],
@@ -154,19 +152,29 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
+def digests(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Two 64-bit sums over each set, which tell sets apart; an empty one counts as a lone 0."""
+    flat = np.concatenate([s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets])
+    starts = np.r_[0, np.cumsum([max(len(s), 1) for s in sets])[:-1]]
+    return [np.add.reduceat(mix(flat, salt), starts).view(np.int64) for salt in (1, 2)]
+
+
 def set_table(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """id and its full shingle set."""
+    """id and the full shingle set of the text whose set has the wanted digest; docs has id, text, digest_a and digest_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
+            wanted = [batch.column(c).to_numpy() for c in ("digest_a", "digest_b")]
             for part in portions(texts, lambda t: len(t or "")):
-                sets = [s.view(np.int64) for s in shingle_sets(texts[part], width)]
+                sets = shingle_sets(texts[part], width)
+                own = np.flatnonzero(np.logical_and(*(d == w[part] for d, w in zip(digests(sets), wanted, strict=True))))
+                sets = [sets[k].view(np.int64) for k in own]
                 offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], lists], names=["id", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own + part.start)), lists], names=["id", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text", "digest_a", "digest_b").mapInArrow(run, "id long, shingles array<long>")
 
 
 def alike(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
@@ -236,8 +244,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are linked when ``100 * shared >= percent * union`` holds for their sets of shingles; component_id is the
     smallest id reachable. Null, empty and blank texts have no shingles, are linked with nothing and stay. So do rows
-    without an id, which no component can be named by: their component_id is null. Ids are integers. Repeated ids count
-    as copies. Other columns are not touched; an empty table gives no rows. MinHash misses a link of exactly 0.8
+    without an id, which no component can be named by: their component_id is null. Ids are integers. An id may come
+    repeatedly, with one text or several: each row is linked by its own text, and a component is named by the least id of
+    its rows, so that one id can name several. Other columns are not touched; an empty table gives no rows. MinHash misses a link of exactly 0.8
     that nothing else connects with a probability of about 1e-7.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -245,14 +254,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = ["digest_a", "digest_b", "n_shingles"]
     full = all_sigs.filter("n_shingles > 0 AND id IS NOT NULL")
     total = full.count()
-    classes = stored(full.groupBy(*digest).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets_seen")
-    reps = stored(join_groups(full, classes, digest, "copies", total).filter("id = rep").select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id"]), "classes")
+    # a class has a number of its own: its least id may be that of another class too
+    classes = stored(full.groupBy(*digest).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "sets_seen")
+    reps = stored(join_groups(full, classes, digest, "copies", total).filter("id = least").select(F.col("rep").alias("id"), "least", *digest, "bands", "sketch").dropDuplicates(["id"]), "classes")
 
     in_bands = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
     shared = stored(join_groups(in_bands, stored(buckets, "bands"), ["bucket"], "n", BANDS * total), "buckets")
-    wanted = shared.select("id").distinct()
-    sets = stored(set_table(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "least", "digest_a", "digest_b")
+    texts = docs.select(F.col("id").alias("least"), "text").join(wanted, "least")
+    sets = stored(set_table(texts, width).dropDuplicates(["id"]), "sets")
 
     ends = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b"))))
     stars = shared.select(ends.alias("p")).select("p.a", "p.b").filter("a < b").distinct()
@@ -271,10 +282,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = components(more.join(side("a"), "a").join(side("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
         found = first.join(joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), "component_id", "left")
         first = stored(found.select("id", F.coalesce("top", "component_id").alias("component_id")), "components")
-    final = first.withColumnRenamed("id", "rep")
-
-    classed = classes.join(final, "rep")
-    classed = join_groups(full.select("id", *digest), classed, digest, "copies", total).select("id", "n_shingles", "component_id")
+    members_of = classes.join(first.withColumnRenamed("id", "rep"), "rep")
+    named = stored(members_of.groupBy("component_id").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("classes")), "names")
+    members_of = join_groups(members_of, named, ["component_id"], "classes", classes.count())
+    classed = members_of.select(*digest, "copies", F.col("name").alias("component_id"))
+    classed = join_groups(full.select("id", *digest), stored(classed, "named"), digest, "copies", total).select("id", "n_shingles", "component_id")
     out = classed.unionByName(all_sigs.filter("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
