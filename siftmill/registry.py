@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.plans import best_copy, chain_queries, detail_queries, posting_queries, table_queries
+from siftmill.plans import best_copy, chain_queries, detail_queries, language_queries, posting_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = best_copy.QUERIES | posting_queries.QUERIES | table_queries.QUERIES | chain_queries.QUERIES | detail_queries.QUERIES
-ORACLES: dict[str, str] = best_copy.ORACLES | posting_queries.ORACLES | table_queries.ORACLES | chain_queries.ORACLES | detail_queries.ORACLES
+_MODULES = (best_copy, posting_queries, table_queries, chain_queries, detail_queries, language_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
