@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.operators import crawl, logs
+from siftmill.operators import cards, crawl, logs
 from siftmill.sources import recorded
 from siftmill.sources.history import History
 from siftmill.streaming.verdicts import held_verdicts, never_held
@@ -187,3 +187,32 @@ def reviewed_in_batches(spark, sf_dir):
     """L1, L3: documents in batches by a budget of characters, put to a reviewer that fails; failed batches are halved."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("key"))
     return logs.reviewed(logs.batched(docs, F.length("text"), "key", 100_000), rule_reviewer).select(F.col("id").alias("doc_id"), "answer")
+
+
+_NUMBERED = r"^[a-z]+://[^/]+/[a-z]+/[0-9]+$"
+
+
+@query(
+    rf"""WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#:]*[.]([a-z]+)', 1) AS site, regexp_replace(url, '[?#].*$', '') AS url FROM pages),
+    s AS (SELECT site, url, list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '') AS s FROM p),
+    d AS (SELECT * FROM (SELECT site, len(s) AS d, count(*) AS n FROM s WHERE len(s) > 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, d DESC) = 1),
+    l AS (SELECT site, d.n AS cards, k, s[k] AS name, count(*) AS c FROM s JOIN d USING (site), range(1, 9) r(k) WHERE len(s) = d.d AND k <= d.d GROUP BY ALL),
+    m AS (SELECT site, cards, k, CASE WHEN max(c) * 100 >= cards * 90 THEN arg_max(name, {{'c': c, 'name': name}}) ELSE '*' END AS part FROM l GROUP BY site, cards, k),
+    g AS (SELECT site, '**/' || string_agg(part, '/' ORDER BY k) AS proposed, cards FROM m GROUP BY site, cards HAVING cards >= 3 AND arg_max(part, k) = '*'),
+    nav AS (SELECT DISTINCT site, '**/about/*' AS proposed, 4 AS cards FROM p), every AS (SELECT * FROM g UNION ALL SELECT * FROM nav),
+    hit AS (SELECT e.site, e.proposed, count(*) AS matched, count_if(NOT regexp_matches(p.url, '{_NUMBERED}')) AS others FROM every e JOIN p ON p.site = e.site AND regexp_full_match(p.url, replace(replace(replace(e.proposed, '**', '#'), '*', '[^/]*'), '#', '.*')) GROUP BY ALL)
+    SELECT e.site, e.proposed, CAST(e.cards AS BIGINT) AS cards, CAST(coalesce(matched, 0) AS BIGINT) AS matched, CAST(coalesce(others, 0) AS BIGINT) AS others, coalesce(others, 0) <= 2 AND coalesce(matched, 0) - coalesce(others, 0) >= 2 AS usable
+    FROM every e LEFT JOIN hit h USING (site, proposed)"""
+)
+def patterns_discovered(spark, sf_dir):
+    """From list pages made of each site's addresses, among menus and adverts, to the globs of its postings."""
+    tld, bare = F.regexp_extract("url", r"^[a-z]+://[^/?#:]*[.]([a-z]+)", 1), F.regexp_replace("url", "[?#].*$", "")
+    urls = table(spark, sf_dir, "pages").filter("url IS NOT NULL").select(tld.alias("site"), bare.alias("url")).distinct()
+    # a list page for each address's share of its site, with its cards, one menu and a lone advert
+    share = F.pmod(F.xxhash64("url"), F.lit(16))
+    card = F.concat(F.lit("<div class='card n"), share.cast("string"), F.lit("'><h2><a href="), "url", F.lit(">x</a></h2><br></div>"))
+    menu = "".join(f'<li class="m{k}"><a href="/about/{x}">{x}</a>' for k, x in enumerate(("us", "team", "press", "jobs")))
+    lists = urls.groupBy("site", share.alias("share")).agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards"))
+    html = F.concat(F.lit(f"<html><body><ul class='menu'>{menu}</ul><!-- <a href='/no'> --><div class=list>"), "cards", F.lit("</div><p><a href='/ad/1'>ad</a></body></html>"))
+    pages = lists.select("site", F.concat(F.lit("https://list."), "site", F.lit("/page")).alias("url"), html.alias("html"))
+    return cards.discovered(pages, urls.withColumn("candidate", F.col("url").rlike(_NUMBERED)), "site").withColumnRenamed("glob", "proposed")
