@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.operators.links import links_of
-from siftmill.operators.survivorship import few_edits, piece_pairs
+from siftmill.operators.survivorship import few_edits, gram_pairs
 
 
 def fuzzy_register(names: DataFrame, register: DataFrame, name: str, legal: str, similarity, least: float) -> DataFrame:
     """Names with the register's best like name: exact ones first, then those of at least the similarity.
 
-    Only distinct names are compared, and only with register names that share a piece with them at about the same place
-    and whose length lies in the band that the similarity allows. ``similarity`` must not exceed the indel ratio, as that
+    Only distinct names are compared, and only with register names that share a rare gram with them at about the same
+    place and whose length lies in the band that the similarity allows. ``similarity`` must not exceed the indel ratio, as that
     of matching blocks does not: then no name is lost.
     """
     exact = names.join(register, F.col(name) == F.col(legal)).select(name, legal, F.lit(1.0).alias("similarity"))
     rest = names.join(register, F.col(name) == F.col(legal), "left_anti")
     left, right = rest.select(F.col(name).alias("s")).distinct(), register.select(F.col(legal).alias("s")).distinct()
-    pairs = piece_pairs(left, right, least).toDF(name, legal).unionByName(piece_pairs(right, left, least).toDF(legal, name)).distinct()
+    pairs = gram_pairs(left, right, least).toDF(name, legal).unionByName(gram_pairs(right, left, least).toDF(legal, name)).distinct()
     n, m = F.length(name), F.length(legal)
     near = pairs.filter((m * (2 - least) >= n * least) & (n * (2 - least) >= m * least)).filter(few_edits(name, legal, least)).withColumn("similarity", similarity(name, legal)).filter(F.col("similarity") >= least)
     best = near.groupBy(name).agg(F.max_by(legal, F.struct("similarity", legal)).alias(legal), F.max("similarity").alias("similarity"))
