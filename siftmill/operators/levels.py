@@ -13,9 +13,10 @@ TOO_FEW = {"junior": None, "entry": None, "mid": 1, "senior": 3}
 #: Words of a platform's field and of titles that name another level.
 WRONG_FIELDS = {"junior": ("mid-senior level", "director", "executive"), "entry": ("mid-senior level", "director", "executive"), "mid": ("internship", "entry level", "director", "executive"), "senior": ("internship", "entry level", "associate")}
 WRONG_TITLES = {"junior": "senior", "entry": "senior", "mid": "internship", "senior": "internship"}
-#: What makes a number of years a requirement, what waives it, and what makes a range one of ages.
+#: Our own patterns: what makes a number of years a requirement, what says that it is none, and what makes a range one
+#: of ages.
 ASKS = "experience|required|requirement|must have|at least|minimum|erfahrung"
-WAIVES = "no experience|without experience|no prior experience|not required|no previous experience|you will gain"
+WAIVES = r"(?:no|zero|without(?: any)?) (?:[a-z]+ )?experience|(?:not|never) (?:strictly |absolutely )?(?:required|needed|necessary|mandatory)|(?:is|are|would be) (?:a plus|an advantage|nice to have|optional)|we(?: will|'ll)? (?:train|teach)|training (?:is |will be )?provided|you(?: will|'ll) (?:learn|gain)"
 AGES = "years? old|aged|age of|ages"
 
 
@@ -59,7 +60,7 @@ def wrong_level(title: Column, body: Column, field: Column, level: str) -> Colum
 
 def sql_wrong_level(title: str, body: str, field: str, level: str) -> str:
     """The same test as DuckDB SQL; title and body are not null."""
-    tests = " OR ".join(f"regexp_matches(s, '{p}')" + (f" AND regexp_matches(s, '{ASKS}') AND NOT regexp_matches(s, '{WAIVES}')" if asks else "") for p, asks in year_patterns(level))
+    tests = " OR ".join(f"regexp_matches(s, '{p}')" + (f" AND regexp_matches(s, '{ASKS}') AND NOT regexp_matches(s, '{WAIVES.replace(chr(39), chr(39) * 2)}')" if asks else "") for p, asks in year_patterns(level))
     low = f"lower({title} || ' ' || {body})"
     fields = ", ".join(f"'{x}'" for x in WRONG_FIELDS[level])
     by_title = f"regexp_matches(lower({title}), '{pattern_of(terms_of(WRONG_TITLES[level]))}')"

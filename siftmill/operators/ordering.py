@@ -1,24 +1,33 @@
-"""Places in an order of all rows, counted slice by slice so that no task holds all of them."""
+"""Places in an order of all rows, counted range by range so that no task holds all of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftmill.tables import stored
 
-def placed_within(rows: DataFrame, keys: list[str], by: str, last: str, slices: int = 256) -> DataFrame:
-    """``rows`` with their place within the rows of the same ``keys``, by a number ``by`` (none last), then ``last``.
 
-    The numbers' range is cut into even slices; each slice of each key is numbered by itself, and the sizes of the slices
-    before it are added. Keys are few values, as statuses are, so that the sizes are few.
+def placed(rows: DataFrame, order: list[Column | str], keys: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """``rows`` with their place (from 1) in an order, or within the rows of the same ``keys``; nulls are a key too.
+
+    Rows are dealt into ranges of keys and order that Spark cuts by a sample of them, so that neither an outlier nor a
+    value with very many rows makes one range large; each is numbered by itself, and the sizes of those before it are
+    added. There are as many sizes as ranges and keys, which are few.
     """
-    bounds = rows.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    share = (F.col(by) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
-    # numbers that are none are in a slice of their own at the end
-    cut = rows.join(F.broadcast(bounds)).withColumn("_s", F.when(F.col(by).isNull(), slices + 1).otherwise(F.floor(F.coalesce(share, F.lit(0.0)) * slices))).drop("_lo", "_hi")
-    sizes = cut.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(F.asc_nulls_last(by), last))
-    return cut.withColumn("_i", inside).join(sizes, [*keys, "_s"]).withColumn("place", (F.col("_before") + F.col("_i")).cast("int")).drop("_s", "_i", "_before")
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
+    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(sizes, same).withColumn("place", F.col("_before") + F.col("_i")).select(*rows.columns, "place")
+
+
+def placed_within(rows: DataFrame, keys: list[str], by: str, last: str) -> DataFrame:
+    """``rows`` with their place within the rows of the same ``keys``, by a number ``by`` (none last), then ``last``."""
+    return placed(rows, [F.asc_nulls_last(by), F.col(last)], tuple(keys)).withColumn("place", F.col("place").cast("int"))

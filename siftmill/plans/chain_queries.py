@@ -16,7 +16,7 @@ from siftmill.operators import predicates as P
 from siftmill.plans import posting_queries as PQ
 from siftmill.plans import table_queries as TQ
 from siftmill.plans.adapters import POSTINGS, postings, sql_squeezed
-from siftmill.plans.chains import Choices, accounting_with_copies, cleaned_up, filtered, module_reason, screened
+from siftmill.plans.chains import Choices, accounted, accounting_with_copies, cleaned_up, filtered, module_reason, module_search, screened
 from siftmill.plans.posting_queries import with_sentences
 from siftmill.sources.normalise import COLUMNS, SOURCES, WORKPLACES, normalised
 from siftmill.streaming.ingest import arrivals, collect_into, first_of_each, with_undated
@@ -83,6 +83,13 @@ def filter_whole(spark, sf_dir):
     return filtered(asked(spark, sf_dir), Choices(countries=("United Kingdom", "Germany", "France"), days=45, floor=20)).select("row_id", "score", "category_order")
 
 
+@query()
+def filter_accounted(spark, sf_dir):
+    """C1 with its twins: what becomes of every posting, copies, rules, like ones and twins in one account."""
+    rows = asked(spark, sf_dir).withColumn("url", F.when(F.col("row_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://mirror.example.org/p/"), F.col("row_id").cast("string"))))
+    return accounted(rows, Choices(countries=("United Kingdom", "Germany", "France"), days=45, floor=20))
+
+
 _TEXT = "trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -231,6 +238,16 @@ def reviewer_verdicts(spark, sf_dir):
     return screened(postings(spark, sf_dir), verdicts).select("row_id", "screen_drop")
 
 
+@query()
+def module_search_whole(spark, sf_dir):
+    """C4: the internship search as one chain over all postings, a third of which are offers of internships."""
+    p = postings(spark, sf_dir)
+    offered = p.withColumn("title", F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("Internship "), "title")).otherwise(F.col("title")))
+    quote = F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit(" ltd"))
+    verdicts = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("row_id"), (F.col("quality") == 0).alias("drop"), quote.alias("quote"))
+    return module_search(offered, "internship", verdicts)
+
+
 @query("SELECT o_orderkey, o_orderdate AS posted FROM orders")
 def date_ladder(spark, sf_dir):
     """Dates written in eight ways are read as the days that they mean."""

@@ -13,6 +13,7 @@ from siftmill.functions import vocabulary as V
 from siftmill.operators import levels, paging
 from siftmill.operators import predicates as P
 from siftmill.operators.links import glob_cover
+from siftmill.operators.ordering import placed
 from siftmill.plans import posting_queries as PQ
 from siftmill.plans import table_queries as TQ
 from siftmill.plans.adapters import POSTINGS, postings, sql_squeezed
@@ -70,12 +71,26 @@ def category_shown(spark, sf_dir):
     return p.select("row_id", P.shown_category(category, stage).alias("shown"), P.category_uncertain(F.col("title"), F.col("description"), employment, F.col("lang")).alias("uncertain"))
 
 
-_HINTS = " ".join(f"WHEN contains(lower(text), '{h}') THEN '{c}'" for h, c in places.COUNTRY_HINTS.items())
+@query(
+    f"""WITH {POSTINGS}, {PQ._LABELLED}, u AS (SELECT row_id, category, country, CASE WHEN NOT ({_TOLD_CATEGORY}) AND row_id % 5 <> 0 AND coalesce(lang, 'unknown') NOT IN ('en', 'unknown') THEN {len(P.CATEGORIES) + 2} ELSE {PQ._RANK} END AS r FROM labelled)
+    SELECT row_id, r AS rank, row_number() OVER (ORDER BY r, CASE WHEN country = 'Spain' THEN 0 ELSE 1 END, row_id) AS place FROM u"""
+)
+def order_search_certain_first(spark, sf_dir):
+    """The order of a search with those postings last whose category nothing told."""
+    p = PQ.labelled(spark, sf_dir)
+    employment = F.when(F.col("row_id") % 5 == 0, "Contract").otherwise("")
+    uncertain = P.category_uncertain(F.col("title"), F.col("description"), employment, F.col("lang"))
+    rank = F.when(uncertain, len(P.CATEGORIES) + 2).otherwise(P.category_rank(F.col("category")))
+    rows = p.select("row_id", rank.alias("rank"), F.when(F.col("country") == "Spain", 0).otherwise(1).alias("c"))
+    return placed(rows, ["rank", "c", "row_id"]).select("row_id", "rank", "place")
+
+
+_HINTS = " ".join(f"WHEN regexp_matches(lower(text), '{places.gazetteer_pattern(c)}') THEN '{c}'" for c in places.GAZETTEER)
 
 
 @query(f"SELECT lang, country, count(*) AS n FROM (SELECT lang, CASE {_HINTS} END AS country FROM documents) GROUP BY ALL")
 def hinted_countries(spark, sf_dir):
-    """The country of the first hint in a text."""
+    """The country that a text names."""
     return table(spark, sf_dir, "documents").select("lang", places.hinted_country(F.col("text")).alias("country")).groupBy("lang", "country").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftmill.functions import text as T
 from siftmill.functions import vocabulary as V
 from siftmill.functions.dates import age_days, not_stale, posted_at, within_window
 from siftmill.operators import predicates as P
+from siftmill.operators.ordering import placed
 from siftmill.operators.survivorship import dedup_text_greedy, pool_fingerprint, twin_edges, greedy
 from siftmill.plans.adapters import POSTINGS, postings, sql_squeezed
 from siftmill.tables import table
@@ -167,21 +167,10 @@ def category_and_seniority(spark, sf_dir):
 def order_search(spark, sf_dir):
     """O1: category rank, one country first, then as they came; the place of each posting.
 
-    Postings are counted by (rank, country) and numbered inside slices of these, so that no task holds all of them.
+    Postings are numbered inside ranges of the order, so that no task holds all of them.
     """
     rows = labelled(spark, sf_dir).select("row_id", "category", P.category_rank(F.col("category")).alias("r"), F.when(F.col("country") == "Spain", 0).otherwise(1).alias("c"))
-    return placed(rows, ["r", "c"], "row_id").select("row_id", "category", "place")
-
-
-def placed(rows: DataFrame, leading: list[str], last: str, slices: int = 64) -> DataFrame:
-    """``rows`` with their place in the order of a few leading columns and a numeric last one, counted slice by slice."""
-    bounds = rows.agg(F.min(last).alias("lo"), F.max(last).alias("hi"))
-    cut = rows.join(F.broadcast(bounds)).withColumn("_s", F.floor((F.col(last) - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1))).drop("lo", "hi")
-    keys = [*leading, "_s"]
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(last))
-    return cut.withColumn("_i", inside).join(sizes, keys).withColumn("place", F.col("_before") + F.col("_i")).drop("_s", "_n", "_i", "_before")
+    return placed(rows, ["r", "c", "row_id"]).select("row_id", "category", "place")
 
 
 _FACETS = ("platform", "country", "lang", "category", "seniority", "english")
