@@ -9,7 +9,7 @@ counts and the links of a spanning forest: no list is expanded into its pairs.
 
 What the index finds is then measured: a bounded sample of vectors is held against all rows. Labels in which it has
 missed links of these, as it does where the vectors have hardly more in common than any two of their label, are compared
-exactly, all blocks of the label with all.
+exactly, all blocks of the label with all; so are small labels, of which a sample could tell nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ SAMPLED = 4
 #: So many vectors are held against all others of their label to measure the index.
 QUERIES = 2_048
 BLOCK = 512
+#: Labels of up to so many different vectors are compared exactly, which costs less than an index.
+SMALL = 2_048
+#: Bytes of vectors that may come to the driver to choose pivots from or to measure the index by.
+DRIVER_BYTES = 128 << 20
 #: Cosines by a matrix product are summed anew where they are this close to the least one.
 CLOSE = 1e-9
 
@@ -206,9 +211,10 @@ def missed(classes: DataFrame, counts: DataFrame, cosine: float, target: float,
             v = batch.column("v")
             labels, copies, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "copies", "id"))
             widths = v.value_lengths().to_numpy(zero_copy_only=False)
-            for (label, size), (query_ids, query_rows) in asked.items():
-                at = np.flatnonzero((labels == label) & (widths == size))
-                if len(at):
+            places = pd.Series(np.arange(len(own))).groupby([labels.astype(object), widths]).indices
+            for (label, size), at in places.items():
+                if (label, size) in asked:
+                    query_ids, query_rows = asked[label, size]
                     i, j = linked(unit(matrix(v.take(pa.array(at)), size)[0]), query_rows, cosine)
                     other = own[at][i] != query_ids[j]
                     for q, n in zip(query_ids[j[other]].tolist(), copies[at][i[other]].tolist(), strict=True):
@@ -221,7 +227,27 @@ def missed(classes: DataFrame, counts: DataFrame, cosine: float, target: float,
     return sums.filter(F.col("found") < F.col("n") * target).select("label", "width")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, target: float = 0.99, queries: int = QUERIES) -> DataFrame:
+#: What comparing yields: a vector's links, or a link of a spanning forest.
+LINKS = "id long, links long, a long, b long"
+
+
+def links_of(found: DataFrame) -> DataFrame:
+    """The links of each vector: id, links."""
+    return found.filter("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def indexed_links(classes: DataFrame, most: int, sampled: int, cosine: float) -> DataFrame:
+    """The links (LINKS) that the index finds. It is built from at most ``sampled`` vectors and holds all."""
+    sample, _ = rows_of(by_hash(classes, 0, min(SAMPLED * most, sampled)))
+    pivots = spread(unit(sample), most, cosine)
+    index = stored(described(classes, pivots), "index")
+    lists = stored(index.select("id", F.explode("named").alias("pivot"), F.xxhash64("label", F.size("v"), "pivot").alias("bucket")), "lists")
+    sizes = stored(lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    members = join_groups(lists, sizes, ["bucket"], "n", lists.count()).join(index.select("id", "v", "copies", "named"), "id")
+    return stored(compared(members, ["v", "copies", "named", "pivot"], block_links(cosine, min(LEAST_SHARED, len(pivots))), LINKS, block=BLOCK), "links")
+
+
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, target: float = 0.99, queries: int = QUERIES, small: int = SMALL) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors are linked when their labels are equal and not null, their lengths are equal and their cosine in double
@@ -229,40 +255,32 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     an id are linked with nothing and stay. Identical vectors are one class, compared once and counted as often as they
     occur. Ids are integers and must be unique; other columns are not touched; an empty table gives no rows. The pivots
     come from a bounded sample, every vector is indexed; of a group of near copies all pairs are compared, as all of
-    them count. ``queries`` vectors measure the index: labels in which it has found under ``target`` of their links are
-    compared exactly.
+    them count. ``queries`` vectors measure the index: labels in which it has found under ``target`` of their links
+    are then compared exactly, and so are those of at most ``small`` different vectors.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     good = usable(rows.filter("id IS NOT NULL"))
     classes = stored(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "label", "v", "copies"), "classes")
-    most = n_pivots(classes.count())
-    sample, _ = rows_of(by_hash(classes, 0, SAMPLED * most))
-    if not len(sample):
+    total, width, n = classes.agg(F.sum("copies"), F.max(F.size("v")), F.count(F.lit(1))).first()
+    if not n:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = spread(unit(sample), most, cosine)
-    index = stored(described(classes, pivots), "index")
-
-    lists = stored(index.select("id", F.explode("named").alias("pivot"), F.xxhash64("label", F.size("v"), "pivot").alias("bucket")), "lists")
-    sizes = stored(lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    members = join_groups(lists, sizes, ["bucket"], "n", lists.count()).join(index.select("id", "v", "copies", "named"), "id")
-    schema = "id long, links long, a long, b long"
-    found = stored(compared(members, ["v", "copies", "named", "pivot"], block_links(cosine, min(LEAST_SHARED, len(pivots))), schema, block=BLOCK), "links")
-    links_of = lambda t: t.filter("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
-
-    weak = stored(missed(classes, links_of(found), cosine, target, queries), "missed")
-    if not weak.isEmpty():  # at most as many labels as queries
-        exact = classes.withColumn("width", F.size("v")).join(F.broadcast(weak), ["label", "width"]).withColumn("bucket", F.xxhash64("label", "width"))
-        whole = F.broadcast(exact.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-        every = stored(compared(exact.join(whole, "bucket"), ["v", "copies"], block_links(cosine, 0), schema, block=BLOCK), "links")
-        done = exact.select("id")
+    per_driver = max(1, DRIVER_BYTES // (8 * width))
+    found = indexed_links(classes, min(n_pivots(n), per_driver), per_driver, cosine)
+
+    # An exact check follows: of labels that are small, so that no sample could measure each, and of those where the
+    # sampled vectors show that the index has missed too many.
+    weak = stored(missed(classes, links_of(found), cosine, target, min(queries, per_driver)), "missed")  # at most as many labels as queries
+    sizes = stored(classes.groupBy("label", F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(F.broadcast(weak.withColumn("weak", F.lit(True))), ["label", "width"], "left").filter((F.col("n") <= small) | F.col("weak")).drop("weak"), "labels")
+    if not sizes.isEmpty():
+        exact = stored(join_groups(classes.withColumn("width", F.size("v")), sizes, ["label", "width"], "n", n).withColumn("bucket", F.xxhash64("label", "width")), "exact")
+        every = stored(compared(exact, ["v", "copies"], block_links(cosine, 0), LINKS, block=BLOCK), "links")
         # the forest's links that the index has found there are true ones too, and may stay
-        found = found.filter("id IS NULL").unionByName(found.filter("id IS NOT NULL").join(done, "id", "left_anti")).unionByName(every)
+        found = found.filter("id IS NULL").unionByName(found.filter("id IS NOT NULL").join(exact.select("id"), "id", "left_anti")).unionByName(every)
 
     counts = links_of(found)
     joined = components(found.filter("a IS NOT NULL").select("a", "b"))
     rep = classes.join(counts, "id", "left").join(joined, "id", "left")
     rep = rep.select("label", "v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    total = classes.agg(F.sum("copies")).first()[0]
     out = join_groups(good, rep, ["label", "v"], "copies", total).select("id", "n_links", "component_id")
     alone = rows.join(good.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -530,6 +530,22 @@ def page_model():
     return fit(articles()[1][:40])
 
 
+def test_embedding_dedup_loses_no_link_of_many_small_labels(spark):
+    from siftmill.llm.embedding_dedup import embedding_dedup
+
+    rng = np.random.default_rng(7)
+    data = []
+    for label in range(500):
+        a = rng.normal(size=24)
+        b = rng.normal(size=24)
+        a, b = a / np.linalg.norm(a), b - (a @ b) / (a @ a) * a
+        b = 0.932 * a + np.sqrt(1 - 0.932**2) * b / np.linalg.norm(b)
+        data += [(2 * label, a.tolist(), label), (2 * label + 1, b.tolist(), label)]
+    got = embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), queries=50)
+    assert {(r["id"], r["n_links"], r["component_id"]) for r in got.collect()} == {(k, 1, k - k % 2) for k in range(1_000)}
+
+
+
 def test_html_blocks_and_held_out_layouts(spark, page_model):
     from siftmill.llm.html_extract import blocks, extracted
 
