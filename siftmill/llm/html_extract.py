@@ -39,7 +39,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARKED = re.compile(r"\bdata-label\s*=\s*\"?([01])")
-SECTIONS = frozenset("article aside footer form header main nav section".split())
+SECTIONS = frozenset("article aside dialog footer form header main nav section".split())
 NAME_PART = re.compile(r"[a-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Words of a class or id that tell what a part of a page is for; others are described by themselves only.
@@ -198,14 +198,14 @@ PARTS = {
     "header": (("header", "div"), "header masthead branding logo tagline top".split()),
     "footer": (("footer", "div", "p"), "footer copyright colophon legal bottom imprint".split()),
     "sidebar": (("aside", "div", "section"), "sidebar widget rail secondary aside complementary".split()),
-    "notice": (("div", "section", "aside", "p"), "notice cookie consent gdpr alert popup modal overlay message".split()),
-    "advert": (("div", "section", "aside"), "ad ads advert advertisement sponsored sponsor promo banner".split()),
+    "notice": (("div", "section", "aside", "p", "dialog", "dialog", "dialog"), "notice cookie consent gdpr alert popup modal overlay message dialog paywall".split()),
+    "advert": (("div", "section", "aside"), "ad ads advert advertisement sponsored sponsor promo banner partner partners outbrain taboola dfp affiliate".split()),
     "form": (("form", "div"), "form search newsletter subscribe signup login contact".split()),
-    "comments": (("section", "div", "ol"), "comments comment replies reply respond discussion disqus".split()),
+    "comments": (("section", "div", "ol"), "comments comment replies reply respond discussion disqus reviews review opinions opinion feedback responses".split()),
     "related": (("div", "section", "ul", "aside"), "related recommended more popular trending tags share social".split()),
 }
 TITLES = {
-    "comments": ("Comments", "3 comments", "12 Comments", "Leave a reply", "Leave a comment", "Replies", "Responses", "Discussion", "Join the discussion", "Reader comments", "Kommentare", "Kommentar schreiben", "Commentaires", "Laisser un commentaire", "Comentarios", "Deja un comentario"),
+    "comments": ("Comments", "Reader reviews", "Reviews", "Opinions", "What readers say", "Your opinion", "Bewertungen", "Avis", "Opiniones", "3 comments", "12 Comments", "Leave a reply", "Leave a comment", "Replies", "Responses", "Discussion", "Join the discussion", "Reader comments", "Kommentare", "Kommentar schreiben", "Commentaires", "Laisser un commentaire", "Comentarios", "Deja un comentario"),
     "related": ("Related articles", "Related", "You may also like", "Read more", "Read next", "Most read", "Popular", "More stories", "Recommended", "Share", "Tags", "Mehr zum Thema", "Lesen Sie auch", "À lire aussi", "Artículos relacionados"),
     "sidebar": ("About", "Archive", "Categories", "Recent posts", "Follow us", "Archiv", "Kategorien", "Archives", "Categorías"),
     "advert": ("Advertisement", "Sponsored", "Anzeige", "Werbung", "Publicité", "Publicidad"),
@@ -233,7 +233,7 @@ def made_page(paragraphs: list[str], rng: np.random.Generator) -> tuple[str, int
             attribute = pick(("", ' class="c{}"', ' class="css-{}x"', ' id="b{}"', ' class="col-{} row"')).format(int(rng.integers(1, 99)))
         else:
             kind = pick(("class", "class", "id"))
-            attribute = "" if rng.random() < plain else f' {kind}="{pick(("", "", "site-", "main-", "block "))}{pick(names)}"'
+            attribute = "" if rng.random() < (0.7 if tag == "dialog" else plain) else f' {kind}="{pick(("", "", "site-", "main-", "block "))}{pick(names)}"'
         inner = f"<div>{inner}</div>" if rng.random() < 0.15 else inner
         return f'<{tag}{attribute} data-label="{label}">{inner}</{tag}>'
 
@@ -307,7 +307,7 @@ class PageModel:
         return ["\n\n".join([b.text for b in f if next(labels)]) for f in found]
 
 
-def fit(pages: list[str], made: int = 600, least_seen: int = 2) -> PageModel:
+def fit(pages: list[str], made: int = 2_000, least_seen: int = 2) -> PageModel:
     """A model from pages of the corpus that have one article, and from as many made pages as given."""
     labelled = []
     for page in pages:

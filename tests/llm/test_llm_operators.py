@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact library, a round trip or held-out rows, and on odd tables."""
 
 import hashlib
+import html
 import itertools
 import random
 import re
@@ -744,3 +745,27 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, empty):
         if k < 4:
             assert here.columns == names and here.filter("quality_score <> 'quality_score' OR place <> 'place'").count() == 0
     assert (here.count() == 0) == empty
+
+
+def test_html_parts_by_other_names(spark, page_model):
+    paragraphs = [max(r["text"].split("\n"), key=len) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 400").select("text").limit(240).collect()]
+    rng = random.Random(3)
+    parts = {
+        "reviews": '<div class="user-reviews"><h2>Reader reviews</h2><p>{0}</p><p>{1}</p></div>',
+        "opinions": '<div class="opinions"><div><b>Ann</b><p>{0}</p></div><div><b>Bo</b><p>{1}</p></div></div>',
+        "partner": '<div class="partner"><p>{0}</p><p>{1}</p></div>',
+        "widget": '<div class="OUTBRAIN"><p>{0}</p><p>{1}</p></div>',
+        "dialog": "<dialog open><p>{0}</p><p>{1}</p></dialog>",
+    }
+    pages, want = [], []
+    for part in parts.values():
+        for k in range(40):
+            own, other = rng.sample(paragraphs, 4), rng.sample(paragraphs, 2)
+            body, apart = [f"<p>{html.escape(p)}</p>" for p in own], part.format(*map(html.escape, other))
+            inside = "".join([*body[:2], apart, *body[2:]] if k % 2 else body)
+            pages.append(f"<html><body><nav><a href=/>home</a></nav><article>{inside}</article>{'' if k % 2 else apart}</body></html>")
+            want.append((set(own), set(other)))
+    got = page_model.extract(pages)
+    kept = sum(" ".join(p.split()) in text for text, (own, _) in zip(got, want, strict=True) for p in own)
+    stayed = sum(" ".join(p.split()) in text for text, (own, other) in zip(got, want, strict=True) for p in other - own)
+    assert kept >= 0.97 * 4 * len(pages) and stayed <= 0.05 * 2 * len(pages), (kept, stayed)
