@@ -86,7 +86,9 @@ def words_of(pieces: list[tuple[bytes, bool]], owner: list[str]) -> Words:
         sizes.append(len(flat) - before)
     words = np.empty(len(flat), dtype=object)
     words[:] = flat
+    del flat
     code, known = pd.factorize(words)
+    del words
     langs = sorted(set(owner))
     at = {x: k for k, x in enumerate(langs)}
     lang = np.repeat(np.array([at[x] for x in owner], dtype=np.int64), sizes)
@@ -259,16 +261,19 @@ def suffixes(docs: DataFrame, plan: Plan, portion: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in portions(batches, portion):
-            known, langs = pa.array(w.known, pa.binary()), pa.array(w.langs)
+            known, langs, found = pa.array(w.known, pa.binary()), pa.array(w.langs), []
             for at, n, long in ragged_suffixes(w, plan):
                 words = [known.take(pa.array(w.code[at + k])).cast(pa.string()) for k in range(long)]
                 whole = sum((mix(w.hashed[at + k], k + 21) for k in range(long)), np.zeros(len(at), dtype=np.uint64))
                 group, depth = plan.placed(w.hashed[at], w.pair[at], whole, np.full(len(at), long > 1))
                 end = pa.array([""] * len(at), pa.string())
-                yield pa.RecordBatch.from_arrays(
+                batch = pa.RecordBatch.from_arrays(
                     [pa.array(group), pa.array(depth.astype(np.int32)), langs.take(pa.array(w.lang[at])), pc.binary_join_element_wise(*words, end, " "), pa.array(n.astype(np.int64))],
                     names=["group", "depth", "lang", "suffix", "n"],
                 )
+                found.append(batch)
+            if found:  # in order, neighbours have long beginnings in common, which the shuffle's compression makes use of
+                yield from pa.Table.from_batches(found).sort_by("suffix").to_batches(max_chunksize=100_000)
 
     return docs.select("text", "lang").mapInArrow(run, schema)
 
