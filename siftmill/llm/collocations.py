@@ -34,6 +34,8 @@ DEPTH = 4
 WORD_BITS, PAIR_BITS, CLASS_BITS = 22, 27, 16
 BLOCK = 1 << 16
 STOP = b"."
+#: Counts that a task holds and adds up before it sends them.
+HELD = 2_000_000
 #: A-Z is lower-cased, [.,;:!?\x0A-\x0D] end a piece, words are runs without space and tab.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + STOP * 9)
 UNKNOWN = "und"
@@ -121,31 +123,55 @@ def portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Words]:
         yield words_of(pieces, owner)
 
 
+def merged_counts(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of cells put together, by cell."""
+    cell, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(cell, kind="stable")
+    cell, n = cell[order], n[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, dtype=np.int64)
+    return cell[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def cell_counts(docs: DataFrame, portion: int) -> DataFrame:
     """Counts of words and pairs by cells, as rows of a block of cells each, and of words by language."""
     schema = "kind int, block int, places binary, counts binary, lang string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        size = 0
         for w in portions(batches, portion):
-            rows = [[], [], [], [], [], []]
             counted = w.start
-            for kind, cells in ((0, w.hashed[counted] >> np.uint64(64 - WORD_BITS)), (1, w.pair[counted & (w.run > 1)] >> np.uint64(64 - PAIR_BITS))):
+            for kind, cells in enumerate((w.hashed[counted] >> np.uint64(64 - WORD_BITS), w.pair[counted & (w.run > 1)] >> np.uint64(64 - PAIR_BITS))):
                 cell, n = np.unique(cells, return_counts=True)
-                block = (cell // BLOCK).astype(np.int64)
-                ends = np.r_[np.flatnonzero(np.diff(block)) + 1, len(cell)] if len(cell) else []
-                begin = 0
-                for end in ends:
-                    rows[0].append(kind)
-                    rows[1].append(int(block[begin]))
-                    rows[2].append((cell[begin:end] % BLOCK).astype(np.uint16).tobytes())
-                    rows[3].append(n[begin:end].astype(np.uint32).tobytes())
-                    begin = end
-            rows[4], rows[5] = [None] * len(rows[0]), [0] * len(rows[0])
-            for lang, n in zip(w.langs, np.bincount(w.lang[counted], minlength=len(w.langs)).tolist(), strict=True):
+                held[kind].append((cell.astype(np.uint32), n.astype(np.uint32)))
+                size += len(cell)
+            yield packed([], w)
+            if size > HELD:
+                for kind in (0, 1):
+                    yield packed([(kind, *merged_counts(held[kind]))])
+                    held[kind].clear()
+                size = 0
+        for kind in (0, 1):
+            if held[kind]:
+                yield packed([(kind, *merged_counts(held[kind]))])
+
+    def packed(counts: list[tuple[int, np.ndarray, np.ndarray]], w: Words | None = None) -> pa.RecordBatch:
+        rows: list[list] = [[], [], [], [], [], []]
+        for kind, cell, n in counts:
+            block = cell // BLOCK
+            ends = np.r_[np.flatnonzero(np.diff(block)) + 1, len(cell)] if len(cell) else []
+            begin = 0
+            for end in ends:
+                row = (kind, int(block[begin]), (cell[begin:end] % BLOCK).astype(np.uint16).tobytes(), n[begin:end].astype(np.uint32).tobytes(), None, 0)
+                begin = end
+                for column, value in zip(rows, row, strict=True):
+                    column.append(value)
+        if w is not None:
+            for lang, n in zip(w.langs, np.bincount(w.lang[w.start], minlength=len(w.langs)).tolist(), strict=True):
                 for column, value in zip(rows, (2, 0, b"", b"", lang, n), strict=True):
                     column.append(value)
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["kind", "block", "places", "counts", "lang", "n"])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["kind", "block", "places", "counts", "lang", "n"])
 
     return docs.select("text", "lang").mapInArrow(run, schema)
 
@@ -255,13 +281,14 @@ def ragged_suffixes(w: Words, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def suffixes(docs: DataFrame, plan: Plan, portion: int) -> DataFrame:
-    """Every different suffix of a portion with its count, and the group that it goes to; a space ends each word, so that
+    """Different suffixes with their counts, added up over the portions of a task, and the group that each goes to; a space ends each word, so that
     the order of suffixes is that of a tree."""
     schema = "group long, depth int, lang string, suffix string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.Table] = []
         for w in portions(batches, portion):
-            known, langs, found = pa.array(w.known, pa.binary()), pa.array(w.langs), []
+            known, langs = pa.array(w.known, pa.binary()), pa.array(w.langs)
             for at, n, long in ragged_suffixes(w, plan):
                 words = [known.take(pa.array(w.code[at + k])).cast(pa.string()) for k in range(long)]
                 whole = sum((mix(w.hashed[at + k], k + 21) for k in range(long)), np.zeros(len(at), dtype=np.uint64))
@@ -271,9 +298,16 @@ def suffixes(docs: DataFrame, plan: Plan, portion: int) -> DataFrame:
                     [pa.array(group), pa.array(depth.astype(np.int32)), langs.take(pa.array(w.lang[at])), pc.binary_join_element_wise(*words, end, " "), pa.array(n.astype(np.int64))],
                     names=["group", "depth", "lang", "suffix", "n"],
                 )
-                found.append(batch)
-            if found:  # in order, neighbours have long beginnings in common, which the shuffle's compression makes use of
-                yield from pa.Table.from_batches(found).sort_by("suffix").to_batches(max_chunksize=100_000)
+                found.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in found) > 3 * HELD // 4:
+                found = [together(found)]
+                if found[0].num_rows > HELD // 2:
+                    yield from found.pop().to_batches(max_chunksize=100_000)
+        if found:
+            yield from together(found).to_batches(max_chunksize=100_000)
+
+    def together(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["group", "depth", "lang", "suffix"]).aggregate([("n", "sum")]).rename_columns(["group", "depth", "lang", "suffix", "n"])
 
     return docs.select("text", "lang").mapInArrow(run, schema)
 
@@ -314,7 +348,7 @@ def subtrees(sorted_suffixes: DataFrame, least: int) -> DataFrame:
     return sorted_suffixes.mapInArrow(run, schema)
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, budget: int = 1_000_000, portion: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, budget: int = 1_000_000, portion: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """Every phrase of up to DEPTH words that occurs ``least`` times in its language (lang, phrase, words, f), and the
     words of each language (lang, n). docs has text and lang, neither null. ``budget`` is the number of suffixes that a
     group is meant to hold, ``portion`` the bytes of text that a task holds at a time."""

@@ -3,8 +3,11 @@
 import hashlib
 import html
 import itertools
+import math
+import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +15,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(__file__))
+from test_collocations import brute as collocations_by_hand  # noqa: E402
+from test_hard_negatives import brute as hard_negatives_by_hand  # noqa: E402
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper kapok larch maple nutmeg oak pine".split()
 
@@ -724,7 +731,13 @@ def test_every_query_on_odd_and_empty_tables(spark, tmp_path, empty):
     reads = {"op6_warc": "pages", "op8_html_extract": "pages", "op7_embedding_dedup": "embeddings"}
     for name, query in QUERIES.items():
         out = query(spark, str(tmp_path)).collect()
-        if name not in ("op5_mixing", "op9_packing"):
+        if name == "op11_hard_negatives":  # anchor 0 is of label 0 + 1, as 7 and 14 are moved
+            rows_ = [] if empty else [(r["vec_id"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"], [math.floor(256 * x) for x in r["embedding"]]) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").collect()]
+            assert sorted(tuple(r) for r in out) == hard_negatives_by_hand(rows_, lambda i: i % 100 == 0), name
+        elif name == "op13_collocations":
+            rows_ = [] if empty else [(r["text"], r["lang"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+            assert sorted(tuple(r) for r in out) == collocations_by_hand(rows_, 30, 80, 2_000), name
+        elif name not in ("op5_mixing", "op9_packing"):
             assert len(out) == n[reads.get(name, "documents")], name
         elif empty:
             assert not out, name
