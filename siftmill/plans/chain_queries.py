@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
 from siftmill.functions import vocabulary as V
-from siftmill.functions.dates import posted_at
+from siftmill.functions.dates import MONTHS, posted_at
 from siftmill.operators.links import proposed_globs
 from siftmill.operators.survivorship import module_dedup
 from siftmill.operators import predicates as P
@@ -259,6 +259,39 @@ def date_ladder(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", posted_at(raw, F.lit("2024-01-01").cast("timestamp")).alias("posted"))
 
 
+@query("SELECT o_orderkey, o_orderdate AS posted FROM orders")
+def dates_in_words(spark, sf_dir):
+    """Days with the month's name in twelve languages, in four orders, are read as the days that they mean."""
+    d = F.col("o_orderdate").cast("timestamp")
+    names = F.array(*[F.array(*map(F.lit, months)) for months in MONTHS.values()])
+    month = F.element_at(F.element_at(names, (F.col("o_orderkey") % len(MONTHS) + 1).cast("int")), F.month(d))
+    day, year = F.day(d).cast("string"), F.year(d).cast("string")
+    ways = [F.concat_ws(" ", day, month, year), F.concat(day, F.lit(". "), month, F.lit(" "), year), F.concat(month, F.lit(" "), day, F.lit(", "), year), F.concat(F.lit("id 7, "), day, F.lit(" de "), month, F.lit(" de "), year, F.lit(", 100 %"))]
+    raw = F.element_at(F.array(*ways), (F.floor(F.col("o_orderkey") / len(MONTHS)) % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", posted_at(raw, F.lit("2024-01-01").cast("timestamp")).alias("posted"))
+
+
+#: Ages as boards of twelve languages write them, with the days of their units.
+AGES = (
+    ("%s days ago", 1), ("vor %s Wochen", 7), ("il y a %s jours", 1), ("hace %s meses", 30), ("%s settimane fa", 7), ("%s dagen geleden", 1), ("há %s dias", 1),
+    ("för %s veckor sedan", 7), ("for %s måneder siden", 30), ("%s uger siden", 7), ("%s päivää sitten", 1), ("%s tygodni temu", 7), ("Posted 30+ days ago", 0), ("gestern", 0), ("vor einer Woche", 0), ("Dzisiaj", 0),
+)
+#: The days of the ages without a number.
+FIXED_AGES = {12: 30, 13: 1, 14: 7, 15: 0}
+
+
+@query(
+    f"""SELECT o_orderkey, TIMESTAMP '2024-02-01 12:00:00' - to_days(CAST(CASE o_orderkey % {len(AGES)} {' '.join(f'WHEN {k} THEN {days}' for k, days in FIXED_AGES.items())}
+      ELSE (o_orderkey % 97 + 2) * ([{', '.join(str(days) for _, days in AGES)}])[o_orderkey % {len(AGES)} + 1] END AS INTEGER)) AS posted FROM orders"""
+)
+def ages_in_words(spark, sf_dir):
+    """Ages in words of twelve languages are read as the time that they mean."""
+    key = F.col("o_orderkey")
+    phrase = F.element_at(F.array(*[F.lit(p) for p, _ in AGES]), (key % len(AGES) + 1).cast("int"))
+    raw = F.replace(phrase, F.lit("%s"), (key % 97 + 2).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", posted_at(raw, F.lit("2024-02-01 12:00:00").cast("timestamp")).alias("posted"))
+
+
 @query(
     """WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS path FROM pages),
     s AS (SELECT string_split(trim(path, '/'), '/') AS seg FROM p WHERE trim(path, '/') <> ''),

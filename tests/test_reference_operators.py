@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
-from siftmill.functions.dates import age_days, not_stale, posted_at, within_window
+from siftmill.functions.dates import MONTHS, NOT_CUT, age_days, not_stale, posted_at, within_window
 
 
 def values(spark, cases, make, schema="a string"):
@@ -36,19 +36,34 @@ def test_text_functions(spark):
 NOW = "2024-03-10 12:00:00"
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
-        ("2024-03-01", "2024-03-01 00:00:00"), ("2024-03-01T10:30:00Z", "2024-03-01 10:30:00"), ("1709251200", "2024-03-01 00:00:00"), ("1709251200000", "2024-03-01 00:00:00"),
-        ("1.3.2024", "2024-03-01 00:00:00"), ("13/02/2024", "2024-02-13 00:00:00"), ("02/13/2024", "2024-02-13 00:00:00"), ("03/02/2024", "2024-02-03 00:00:00"), ("1.3.24", "2024-03-01 00:00:00"),
-        ("Posted on: March 1st, 2024", "2024-03-01 00:00:00"), ("1 März 2024", "2024-03-01 00:00:00"), ("1 de marzo de 2024", "2024-03-01 00:00:00"), ("1er mars 2024", "2024-03-01 00:00:00"), ("Mar 1, 2024", "2024-03-01 00:00:00"),
-        ("today", NOW), ("gestern", "2024-03-09 12:00:00"), ("3 days ago", "2024-03-07 12:00:00"), ("vor 2 Wochen", "2024-02-25 12:00:00"), ("a month ago", "2024-02-09 12:00:00"), ("2 settimane fa", "2024-02-25 12:00:00"), ("5 hours ago", "2024-03-10 07:00:00"),
-        ("deadline 2024-02-28 at noon", "2024-02-28 00:00:00"), ("nan", None), ("", None), (None, None), ("-", None), ("soon", None), ("99.99.2024", None),
-    ],
-)
-def test_dates(spark, raw, want):
-    got = values(spark, [raw], lambda c: posted_at(c, F.lit(NOW).cast("timestamp")).cast("string"))
-    assert got == [want]
+#: Raw dates and what they mean at NOW.
+DATES = [
+    ("2024-03-01", "2024-03-01 00:00:00"), ("2024-03-01T10:30:00Z", "2024-03-01 10:30:00"), ("1709251200", "2024-03-01 00:00:00"), ("1709251200000", "2024-03-01 00:00:00"),
+    ("1.3.2024", "2024-03-01 00:00:00"), ("13/02/2024", "2024-02-13 00:00:00"), ("02/13/2024", "2024-02-13 00:00:00"), ("03/02/2024", "2024-02-03 00:00:00"), ("1.3.24", "2024-03-01 00:00:00"),
+    ("Posted on: March 1st, 2024", "2024-03-01 00:00:00"), ("1 März 2024", "2024-03-01 00:00:00"), ("1 de marzo de 2024", "2024-03-01 00:00:00"), ("1er mars 2024", "2024-03-01 00:00:00"), ("Mar 1, 2024", "2024-03-01 00:00:00"),
+    ("today", NOW), ("gestern", "2024-03-09 12:00:00"), ("3 days ago", "2024-03-07 12:00:00"), ("vor 2 Wochen", "2024-02-25 12:00:00"), ("a month ago", "2024-02-09 12:00:00"), ("2 settimane fa", "2024-02-25 12:00:00"), ("5 hours ago", "2024-03-10 07:00:00"),
+    ("deadline 2024-02-28 at noon", "2024-02-28 00:00:00"), ("nan", None), ("", None), (None, None), ("-", None), ("soon", None), ("99.99.2024", None),
+    ("2024-02", "2024-02-01 00:00:00"), ("02/2024", "2024-02-01 00:00:00"), ("20240213", "2024-02-13 00:00:00"), ("20240213T101112", "2024-02-13 10:11:12"), ("13.02.2024 14:30", "2024-02-13 14:30:00"), ("2024/2/13 4:05:06", "2024-02-13 04:05:06"),
+    ("31-12-69", "1969-12-31 00:00:00"), ("45-12-31", "2045-12-31 00:00:00"), ("30.02.2024", None), ("13 02 2024", "2024-02-13 00:00:00"),
+    ("February 2024", "2024-02-01 00:00:00"), ("Mon, 5 Feb 2024", "2024-02-05 00:00:00"), ("5-Feb-24", "2024-02-05 00:00:00"), ("Feb 5, 2024 14:30", "2024-02-05 14:30:00"), ("Stellenangebot vom 05.02.2024, Vollzeit", "2024-02-05 00:00:00"),
+    ("5. Dezember 2023", "2023-12-05 00:00:00"), ("den 5 december 2023", "2023-12-05 00:00:00"), ("5. desember 2023", "2023-12-05 00:00:00"), ("5. joulukuuta 2023", "2023-12-05 00:00:00"), ("5 grudnia 2023", "2023-12-05 00:00:00"), ("5 wrzesnia 2023", "2023-09-05 00:00:00"), ("5 de março de 2024", "2024-03-05 00:00:00"), ("5. marts 2024", "2024-03-05 00:00:00"), ("5 sept. 2023", "2023-09-05 00:00:00"),
+    ("für 3 veckor sedan", "2024-02-18 12:00:00"), ("5 päivää sitten", "2024-03-05 12:00:00"), ("5 paivaa sitten", "2024-03-05 12:00:00"), ("2 tygodnie temu", "2024-02-25 12:00:00"), ("há 2 meses", "2024-01-10 12:00:00"), ("i går", "2024-03-09 12:00:00"), ("wczoraj", "2024-03-09 12:00:00"), ("30+ days ago", "2024-02-09 12:00:00"), ("vor einem Tag", "2024-03-09 12:00:00"),
+    ("new", NOW), ("posted today at 9", NOW), ("new york", None), ("sieben Tagen", None), ("marching 5 2024", None), ("Mar 5, 14:30", None),
+]
+
+
+def test_dates(spark):
+    got = values(spark, [raw for raw, _ in DATES], lambda c: posted_at(c, F.lit(NOW).cast("timestamp")).cast("string"))
+    assert [(raw, g) for (raw, _), g in zip(DATES, got, strict=True)] == DATES
+
+
+def test_no_spelling_of_a_month_means_two():
+    said: dict[str, set[int]] = {}
+    for language, names in MONTHS.items():
+        for number, name in enumerate(names, 1):
+            for cut in {name, name[:4]} | ({name[:3]} if language not in NOT_CUT else set()):
+                said.setdefault(cut, set()).add(number)
+    assert {cut: numbers for cut, numbers in said.items() if len(numbers) > 1} == {}
 
 
 def test_date_windows_differ_at_their_edge(spark):
