@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from siftmill.operators import cards, crawl, logs
 from siftmill.sources import recorded
 from siftmill.sources.history import History
+from siftmill.sources.registers import register_of_years
+from siftmill.sources.workbooks import workbook_lines, workbooks
 from siftmill.streaming.verdicts import held_verdicts, never_held
-from siftmill.tables import scratch_path, table
+from siftmill.tables import scratch_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +218,32 @@ def patterns_discovered(spark, sf_dir):
     html = F.concat(F.lit(f"<html><body><ul class='menu'>{menu}</ul><!-- <a href='/no'> --><div class=list>"), "cards", F.lit("</div><p><a href='/ad/1'>ad</a></body></html>"))
     pages = lists.select("site", F.concat(F.lit("https://list."), "site", F.lit("/page")).alias("url"), html.alias("html"))
     return cards.discovered(pages, urls.withColumn("candidate", F.col("url").rlike(_NUMBERED)), "site").withColumnRenamed("glob", "proposed")
+
+
+@query("SELECT c_nationkey, c_custkey, c_name, c_mktsegment FROM customer")
+def exported_workbooks(spark, sf_dir):
+    """Customers as workbooks of each nation, at most 200 rows in one, and their cells read again."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    books = stored(workbooks(c, ["c_custkey"], ("c_nationkey",), most=200), "workbooks")
+    lines = workbook_lines(books.withColumn("path", F.col("c_nationkey").cast("string"))).filter("row > 1")
+    return lines.select(F.col("path").cast(c.schema["c_nationkey"].dataType).alias("c_nationkey"), F.col("cells")[0].cast(c.schema["c_custkey"].dataType).alias("c_custkey"), F.col("cells")[1].alias("c_name"), F.col("cells")[2].alias("c_mktsegment"))
+
+
+#: The columns of a register's files, year by year.
+YEARS = {2021: ("Employer", "Town"), 2022: ("Fiscal Year", " employer "), 2023: ("Petitioner", "Employer Name", "x")}
+
+
+@query(
+    """SELECT name, CAST(min(y) AS INTEGER) AS first_year, CAST(max(y) AS INTEGER) AS last_year, count(DISTINCT y) AS years FROM (
+      SELECT trim(c_mktsegment || ', ' || (c_custkey % 1000)) AS name, unnest(CASE c_custkey % 4 WHEN 0 THEN [2021] WHEN 1 THEN [2022, 2023] WHEN 2 THEN [2021, 2023] ELSE [2022] END) AS y FROM customer) GROUP BY name"""
+)
+def register_by_year(spark, sf_dir):
+    """A register whose files have other columns every year, written from customers, as one."""
+    name = F.concat("c_mktsegment", F.lit(", "), (F.col("c_custkey") % 1000).cast("string"))
+    c = table(spark, sf_dir, "customer").select(F.concat(name, F.lit(" ")).alias("name"), (F.col("c_custkey") % 4).alias("k"))
+    files = {}
+    for year, columns in YEARS.items():
+        files[year] = scratch_path(spark, f"register-{year}")
+        listed = c.filter(F.col("k").isin({2021: [0, 2], 2022: [1, 3], 2023: [1, 2]}[year]))
+        listed.select(*[(F.col("name") if "employer" in column.lower() else F.lit("other")).alias(column) for column in columns]).write.csv(files[year], header=True)
+    return register_of_years(spark, files, ["employer", "employer name"], least=1)

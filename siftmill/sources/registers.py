@@ -15,6 +15,29 @@ def register_from_csv(spark: SparkSession, paths: list[str] | str, column: str,
     return names
 
 
+def register_of_years(spark: SparkSession, files: dict[int, str], headings: list[str], least: int, **options) -> DataFrame:
+    """The names of yearly CSV files with columns of their own: name, first_year, last_year and in how many of them.
+
+    Of each file the column counts that is called one of ``headings``, blanks and case apart, the first of the list
+    before the others. A file without one gives nothing; fewer names than ``least`` altogether are an error."""
+    together = None
+    for year, path in sorted(files.items()):
+        rows = spark.read.csv(path, header=True, **options)
+        said = {c.strip().lower(): c for c in reversed(rows.columns)}
+        column = next((said[h.strip().lower()] for h in headings if h.strip().lower() in said), None)
+        if column is not None:
+            part = rows.select(F.trim(F.col(f"`{column.replace('`', '``')}`")).alias("name"), F.lit(year).alias("year"))
+            together = part if together is None else together.unionByName(part)
+    if together is None:
+        raise ValueError(f"no file has a column called {' or '.join(headings)}")
+    each = together.filter("name <> ''").groupBy("name", "year").agg(F.lit(1).alias("k"))
+    names = each.groupBy("name").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("year").alias("years"))
+    n = names.count()
+    if n < least:
+        raise ValueError(f"the register has {n} names, fewer than {least}")
+    return names
+
+
 def names_of_table(page: DataFrame, html: str = "html") -> DataFrame:
     """The first cell of each row of the tables of a page."""
     cells = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>\s*<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))

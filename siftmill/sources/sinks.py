@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.operators.survivorship import first_wins
@@ -29,7 +29,12 @@ def upserted(pool: DataFrame, new: DataFrame, key: str = "url", other: str = "ro
     return first_wins(both, k, [F.col("_batch"), F.col(other)]).drop("_batch")
 
 
+def cell(column: str) -> Column:
+    """A column as the text of a cell: no control characters, cut with a note where a cell would be too long."""
+    clean = F.regexp_replace(F.col(column).cast("string"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    return F.when(F.length(clean) > CELL, F.concat(F.substring(clean, 1, CELL), F.lit(" [cut]"))).otherwise(clean)
+
+
 def export_cells(df: DataFrame) -> DataFrame:
-    """Every column as text without control characters, cut with a note where a cell would be too long."""
-    clean = lambda c: F.regexp_replace(F.col(c).cast("string"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
-    return df.select(*[F.when(F.length(clean(c)) > CELL, F.concat(F.substring(clean(c), 1, CELL), F.lit(" [cut]"))).otherwise(clean(c)).alias(c) for c in df.columns])
+    """Every column as the text of cells."""
+    return df.select(*[cell(c).alias(c) for c in df.columns])
