@@ -12,6 +12,7 @@ from siftmill.operators import cards, crawl, logs
 from siftmill.sources import recorded
 from siftmill.sources.history import History
 from siftmill.sources.registers import register_of_years
+from siftmill.sources.structured import structured_postings
 from siftmill.sources.workbooks import workbook_lines, workbooks
 from siftmill.streaming.verdicts import held_verdicts, never_held
 from siftmill.tables import scratch_path, stored, table
@@ -247,3 +248,24 @@ def register_by_year(spark, sf_dir):
         listed = c.filter(F.col("k").isin({2021: [0, 2], 2022: [1, 3], 2023: [1, 2]}[year]))
         listed.select(*[(F.col("name") if "employer" in column.lower() else F.lit("other")).alias(column) for column in columns]).write.csv(files[year], header=True)
     return register_of_years(spark, files, ["employer", "employer name"], least=1)
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages WHERE page_id % 6 <> 5)
+    SELECT page_id, trim(regexp_replace(t, '[^a-zA-Z0-9 ]', ' ', 'g')) AS title, host AS company, CASE WHEN page_id % 6 IN (1, 3) THEN 'Bonn' ELSE 'Lund' END AS location, CASE WHEN page_id % 6 IN (1, 3) THEN 'DE' ELSE 'Sweden' END AS country,
+      '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS posted_raw, 'a & b ' || page_id AS description, CASE WHEN page_id % 6 IN (1, 3) THEN 'Part-time' ELSE 'Full-time' END AS employment_type, CASE WHEN page_id % 2 = 0 THEN 'Remote' ELSE '' END AS workplace_type FROM p WHERE trim(regexp_replace(t, '[^a-zA-Z0-9 ]', ' ', 'g')) <> '' AND host <> ''"""
+)
+def structured_data(spark, sf_dir):
+    """The postings that pages carry as JSON-LD: alone, in a list, in a graph, in a list of items, behind a broken block."""
+    k = F.col("page_id")
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^a-zA-Z0-9 ]", " "))
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)
+    german = (k % 6).isin(1, 3)
+    place = F.when(german, '[{"address": {"addressLocality": "Bonn", "addressCountry": "DE"}}]').otherwise('{"address": {"addressLocality": "Lund", "addressCountry": {"@type": "Country", "name": "Sweden"}}}')
+    kind = F.when(german, '["PART_TIME", "OTHER"]').otherwise('"FULL_TIME"')
+    remote = F.when(k % 2 == 0, ', "jobLocationType": "TELECOMMUTE"').otherwise("")
+    text = F.format_string('{"@type": %s, "title": "%s", "hiringOrganization": {"@type": "Organization", "name": "%s"}, "jobLocation": %s, "datePosted": "2024-01-%02d", "description": "&lt;p&gt;a &amp;amp; b&lt;/p&gt; %d", "employmentType": %s%s}', F.when(german, '["Thing", "JobPosting"]').otherwise('"JobPosting"'), title, host, place, k % 28 + 1, k, kind, remote)
+    shapes = [text, F.concat(F.lit('[{"@type": "WebSite"}, '), text, F.lit("]")), F.concat(F.lit('{"@graph": [{"@type": "Organization", "title": "no"}, '), text, F.lit("]}")), F.concat(F.lit('{"@type": "ItemList", "itemListElement": [{"item": '), text, F.lit("}]}")), F.concat(F.lit('{"broken": </script><script id="x" type="application/ld+json">'), text), F.lit('{"@type": "Article", "title": "no posting"}')]
+    block = F.element_at(F.array(*shapes), (k % 6 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").filter((title != "") & (host != "")).select("page_id", F.concat("html", F.lit('<script type="application/ld+json">'), block, F.lit("</script>")).alias("html"))
+    return structured_postings(pages).drop("until_raw", "url")
