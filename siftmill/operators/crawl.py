@@ -78,15 +78,18 @@ def same_domain(url: Column, other: Column) -> Column:
 def site_map_pages(documents: DataFrame, seeds: DataFrame, most_maps: int = 6, most_depth: int = 4, limit: int = 500) -> DataFrame:
     """The pages that site maps name, from the maps of ``seeds`` (site, map) on: site, page.
 
-    ``documents`` (url, body) are the maps that could be read. An index names further maps, whatever their addresses
+    ``documents`` (url, body) are the maps that could be read; one of very many addresses may come in parts, as several
+    rows of its url. An index names further maps, whatever their addresses
     end with; another map names pages, and maps where an address ends with .xml. Of each map at most ``most_maps`` further
     ones are followed, those that speak of jobs first, then in the map's order; of a site at most ``limit`` pages stay, by
     depth and then by address. A map is read once for a site, so that maps that name each other end.
     """
     body = F.coalesce("body", F.lit(""))
-    entries = documents.filter("url IS NOT NULL").select("url", body.rlike(r"(?i)<sitemapindex[\s>]").alias("index"), F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)"), F.lit(1))).alias("pos", "loc"))
+    # what kind of map it is, is told before its addresses become rows: each of them would read the whole map again
+    read_ = documents.filter("url IS NOT NULL").select("url", body.alias("body"), body.rlike(r"(?i)<sitemapindex[\s>]").alias("index"))
+    entries = read_.select("url", "index", F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)"), F.lit(1))).alias("pos", "loc"))
     entries = stored(entries.withColumn("is_map", F.col("index") | F.col("loc").endswith(".xml")), "entries")
-    order = Window.partitionBy("url").orderBy((~F.col("loc").rlike(JOB_MAP)).cast("int"), "pos")
+    order = Window.partitionBy("url").orderBy((~F.col("loc").rlike(JOB_MAP)).cast("int"), "pos", "loc")
     maps = entries.filter("is_map").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most_maps)
     # a site's own copy of the graph is never made: rounds carry (site, map)
     new = stored(seeds.select("site", F.col("map").alias("url")).distinct().withColumn("depth", F.lit(0)), "maps")

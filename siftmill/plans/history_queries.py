@@ -46,6 +46,10 @@ def pages_reached(spark, sf_dir):
     return crawl.reached(out.unionByName(section), pages.filter("page_id % 50 = 0").select(F.col("url").alias("node")), 6)
 
 
+#: Addresses of a host's map that make one part of it.
+MAP_PART = 10_000
+
+
 @query(
     r"""WITH p AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#:]*[.]([a-z]+)', 1) AS tld FROM pages WHERE url IS NOT NULL),
     hosts AS (SELECT tld, host FROM (SELECT DISTINCT tld, host FROM p) QUALIFY row_number() OVER (PARTITION BY tld ORDER BY host) <= 6)
@@ -58,7 +62,11 @@ def site_map_pages(spark, sf_dir):
     listed = lambda values: F.array_join(F.transform(F.array_sort(F.collect_set(values)), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), "")
     own = lambda c: F.concat(F.lit("https://"), c, F.lit("/sitemap.xml"))
     index = lambda c: F.concat(F.lit("https://maps."), c, F.lit("/index"))
-    maps = p.groupBy("host").agg(listed(F.col("url")).alias("locs")).select(own("host").alias("url"), F.concat(F.lit("<urlset>"), "locs", F.lit("<loc>"), own("host"), F.lit("</loc></urlset>")).alias("body"))
+    # a host's map comes in parts of about MAP_PART addresses, the first of which names the map itself
+    parts = p.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / MAP_PART).alias("parts"))
+    parted = p.join(F.broadcast(parts), "host").withColumn("part", F.pmod(F.xxhash64("url"), F.col("parts"))).select("host", "part", "url")
+    parted = parted.unionByName(parts.select("host", F.lit(0).cast("long").alias("part"), own("host").alias("url")))
+    maps = parted.groupBy("host", "part").agg(listed(F.col("url")).alias("locs")).select(own("host").alias("url"), F.concat(F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("body"))
     indexes = p.groupBy("tld").agg(listed(own("host")).alias("locs")).select(index("tld").alias("url"), F.concat(F.lit("<sitemapindex>"), "locs", F.lit("<loc>"), index("tld"), F.lit("</loc></sitemapindex>")).alias("body"))
     return crawl.site_map_pages(maps.unionByName(indexes), p.select(F.col("tld").alias("site"), index("tld").alias("map")).distinct())
 
