@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftmill.functions.dates import let
 from siftmill.tables import stored
 
 
@@ -46,18 +47,29 @@ def canonical(settings: Column, depth: int = 3) -> Column:
     without repeats and blanks; numbers and texts are what they display as, trimmed. So are values nested deeper than
     ``depth``, where the order inside arrays counts. Null and empty values are the empty text.
     """
-    quoted = lambda t: F.concat(F.lit('"'), F.regexp_replace(t, r'(["\\])', r"\\$1"), F.lit('"'))
+    return let(settings, lambda s: _canonical(s, depth))
+
+
+def _canonical(settings: Column, depth: int) -> Column:
+    # inside functions of arrays Spark computes what is written twice twice, and so twice again at every level
+    quoted = lambda t: F.concat(F.lit('"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     plain = F.trim(F.coalesce(F.try_variant_get(settings, "$", "string"), F.lit("")))
-    text = F.when(plain == "", plain).otherwise(quoted(plain))
+    text = let(plain, lambda p: F.when(p == "", p).otherwise(quoted(p)))
     if depth == 0:
         return text
-    entries = F.map_entries(F.try_variant_get(settings, "$", "map<string, variant>"))
-    fields = F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("k"), canonical(e["value"], depth - 1).alias("v"))), lambda e: e["v"] != "")
-    fields = F.transform(F.array_sort(fields), lambda e: F.concat(quoted(e["k"]), F.lit("="), e["v"]))
-    items = F.array_sort(F.array_distinct(F.filter(F.transform(F.try_variant_get(settings, "$", "array<variant>"), lambda v: canonical(v, depth - 1)), lambda t: t != "")))
-    kind = F.schema_of_variant(settings)
-    wrapped = lambda parts, a, b: F.when(F.size(parts) > 0, F.concat(F.lit(a), F.array_join(parts, ","), F.lit(b))).otherwise(F.lit(""))
-    return F.when(settings.isNull(), F.lit("")).when(kind.startswith("OBJECT"), wrapped(fields, "{", "}")).when(kind.startswith("ARRAY"), wrapped(items, "[", "]")).otherwise(text)
+    wrapped = lambda parts, a, b: let(F.array_join(parts, ","), lambda p: F.when(p == "", p).otherwise(F.concat(F.lit(a), p, F.lit(b))))
+    below = lambda v: canonical(v, depth - 1)
+
+    def fields(entries: Column) -> Column:
+        told = F.filter(F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("k"), below(e["value"]).alias("v"))), lambda e: e["v"] != "")
+        return wrapped(F.transform(F.array_sort(told), lambda e: F.concat(quoted(e["k"]), F.lit("="), e["v"])), "{", "}")
+
+    def items(values: Column) -> Column:
+        return wrapped(F.array_sort(F.array_distinct(F.filter(F.transform(values, below), lambda t: t != ""))), "[", "]")
+
+    # only an object can be read as a map, and only an array as an array
+    other = let(F.try_variant_get(settings, "$", "array<variant>"), lambda a: F.when(a.isNotNull(), items(a)).otherwise(text))
+    return let(F.try_variant_get(settings, "$", "map<string, variant>"), lambda m: F.when(m.isNotNull(), fields(m)).otherwise(other))
 
 
 def batched(rows: DataFrame, size: Column, key: str, budget: int, shares: int = 64) -> DataFrame:
