@@ -13,11 +13,12 @@ def placed(rows: DataFrame, order: list[Column | str], keys: tuple[str, ...] = (
     """``rows`` with their place (from 1) in an order, or within the rows of the same ``keys``; nulls are a key too.
 
     Rows are dealt into ranges of keys and order that Spark cuts by a sample of them, so that neither an outlier nor a
-    value with very many rows makes one range large; each is numbered by itself, and the sizes of those before it are
+    value with very many rows makes one range large; they are stored before, as the sample would else compute them once
+    more. Each range is numbered by itself, and the sizes of those before it are
     added. There are as many sizes as ranges and keys, which are few.
     """
     n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = stored(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    cut = stored(stored(rows, "unplaced").repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")

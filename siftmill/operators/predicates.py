@@ -47,7 +47,6 @@ def around_hits(text: Column, find: str, void: str, before: int, after: int, nee
 
     True if some hit is not void, or with ``need_all`` if there are hits and each of them is void.
     """
-    t = F.coalesce(text, F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("void"))
 
     def over(parts: Column) -> Column:
@@ -63,7 +62,9 @@ def around_hits(text: Column, find: str, void: str, before: int, after: int, nee
         walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step)
         return F.when(F.size(hits) == 0, False).otherwise(let(walked, lambda w: (w["n"] == w["void"]) if need_all else (w["n"] > w["void"])))
 
-    return let(F.struct(F.regexp_extract_all(t, F.lit(find), F.lit(0)).alias("hits"), F.split(t, find).alias("rest"), t.alias("text")), over)
+    # the text is computed once, and taken apart only where there is a hit
+    parts = lambda t: F.struct(F.regexp_extract_all(t, F.lit(find), F.lit(0)).alias("hits"), F.split(t, find).alias("rest"), t.alias("text"))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(find), let(parts(t), over)).otherwise(False))
 
 
 def sql_around_hits(text: str, find: str, void: str, before: int, after: int, need_all: bool) -> str:
@@ -240,12 +241,12 @@ def category(title: Column, body: Column, employment: Column, squeezed_already:
 
 def category_uncertain(title: Column, body: Column, employment: Column, language: Column) -> Column:
     """Nothing told the category: no words, no kind of employment, and a text in a language other than English."""
-    t, b = squeezed(title), squeezed(body)
-    told = F.lit(False)
-    for text in (t, b):
-        for section in ("thesis", "phd", "internship", "part_time"):
-            told = told | hit(text, section)
-    return ~told & (F.trim(F.coalesce(employment, F.lit(""))) == "") & ~F.coalesce(language, F.lit("unknown")).isin("en", "unknown")
+    return uncertain_of(category(title, body, F.lit("")), employment, language)
+
+
+def uncertain_of(by_words: Column, employment: Column, language: Column) -> Column:
+    """The same from a category that was found by words alone, so that no text is read again."""
+    return (by_words == "Full-Time") & (F.trim(F.coalesce(employment, F.lit(""))) == "") & ~F.coalesce(language, F.lit("unknown")).isin("en", "unknown")
 
 
 def shown_category(category: Column, stage: Column) -> Column:

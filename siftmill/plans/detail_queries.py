@@ -79,7 +79,7 @@ def order_search_certain_first(spark, sf_dir):
     """The order of a search with those postings last whose category nothing told."""
     p = PQ.labelled(spark, sf_dir)
     employment = F.when(F.col("row_id") % 5 == 0, "Contract").otherwise("")
-    uncertain = P.category_uncertain(F.col("title"), F.col("description"), employment, F.col("lang"))
+    uncertain = P.uncertain_of(F.col("category"), employment, F.col("lang"))
     rank = F.when(uncertain, len(P.CATEGORIES) + 2).otherwise(P.category_rank(F.col("category")))
     rows = p.select("row_id", rank.alias("rank"), F.when(F.col("country") == "Spain", 0).otherwise(1).alias("c"))
     return placed(rows, ["rank", "c", "row_id"]).select("row_id", "rank", "place")
