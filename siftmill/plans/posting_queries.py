@@ -332,6 +332,6 @@ _SAID = f"said AS (SELECT * REPLACE (description || ' ' || {list(SENTENCES)}[row
 @query(f", {_SAID} SELECT lang, " + ", ".join(f"CAST(count_if({P.sql_around_hits(sql_squeezed('description'), *rule)}) AS BIGINT) AS {name}" for name, _, rule in _RULES) + " FROM said GROUP BY lang")
 def sentence_rules(spark, sf_dir):
     """Rules that look around each hit, by language."""
-    text = T.squeezed(F.col("description"))
-    p = with_sentences(postings(spark, sf_dir)).select("lang", *[test(text).alias(name) for name, test, _ in _RULES])
+    p = with_sentences(postings(spark, sf_dir)).select("lang", T.squeezed(F.col("description")).alias("text"))
+    p = p.select("lang", *[test(F.col("text")).alias(name) for name, test, _ in _RULES])
     return p.groupBy("lang").agg(*[F.count_if(F.col(name)).alias(name) for name, *_ in _RULES])
