@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 GRAM, PROFILE, LEAST = 3, 2_000, 40
 #: Languages that profiles may hold: with it they are bounded, and can go to every task.
 MOST_LANGUAGES = 1_000
+#: Grams that a task holds before it adds them up: a batch of texts may have many times as many.
+HELD_GRAMS = 1 << 20
 UNKNOWN = "unknown"
 _LETTERS = np.array([chr(c).isalpha() for c in range(0x110000)])
 _BITS = 21
@@ -42,14 +44,22 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", most: int
     a language's grams are ranked in parts before they are ranked together.
     """
 
+    def counted(by_language: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for name, found in by_language.items():
+            codes, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array([written(c) for c in codes.tolist()], pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_language: dict[str, list[np.ndarray]] = {}
+            by_language, held = {}, 0
             for text_, lang_ in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                by_language.setdefault(lang_, []).append(gram_codes(text_.as_py()))
-            for name, found in by_language.items():
-                codes, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array([written(c) for c in codes.tolist()], pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+                codes = gram_codes(text_.as_py())
+                by_language.setdefault(lang_, []).append(codes)
+                held += len(codes)
+                if held >= HELD_GRAMS:
+                    yield from counted(by_language)
+                    by_language, held = {}, 0
+            yield from counted(by_language)
 
     taught = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = taught.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
