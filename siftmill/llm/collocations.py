@@ -36,6 +36,8 @@ BLOCK = 1 << 16
 STOP = b"."
 #: Counts that a task holds and adds up before it sends them.
 HELD = 2_000_000
+#: Parts in which a task adds up its suffixes, one after another.
+PARTS = 8
 #: A-Z is lower-cased, [.,;:!?\x0A-\x0D] end a piece, words are runs without space and tab.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + STOP * 9)
 UNKNOWN = "und"
@@ -300,14 +302,31 @@ def suffixes(docs: DataFrame, plan: Plan, portion: int) -> DataFrame:
                 )
                 found.append(pa.Table.from_batches([batch]))
             if sum(t.num_rows for t in found) > 3 * HELD // 4:
-                found = [together(found)]
-                if found[0].num_rows > HELD // 2:
-                    yield from found.pop().to_batches(max_chunksize=100_000)
-        if found:
-            yield from together(found).to_batches(max_chunksize=100_000)
-
-    def together(tables: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(tables).group_by(["group", "depth", "lang", "suffix"]).aggregate([("n", "sum")]).rename_columns(["group", "depth", "lang", "suffix", "n"])
+                found = together(found)
+                if sum(t.num_rows for t in found) > HELD // 2:
+                    while found:
+                        yield from found.pop().to_batches(max_chunksize=100_000)
+                pa.default_memory_pool().release_unused()
+        found = together(found) if found else found
+        while found:
+            yield from found.pop().to_batches(max_chunksize=100_000)
+
+    def together(tables: list[pa.Table]) -> list[pa.Table]:
+        """Added up in PARTS by the group, so that only one part at a time is held twice; ``tables`` are freed meanwhile."""
+        parts: list[list[pa.Table]] = [[] for _ in range(PARTS)]
+        while tables:
+            t = tables.pop()
+            part = t["group"].to_numpy() % PARTS
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+            for k in range(PARTS):
+                if ends[k + 1] > ends[k]:
+                    parts[k].append(t.take(pa.array(order[ends[k] : ends[k + 1]])))
+        out = []
+        while parts:
+            if own := parts.pop():
+                out.append(pa.concat_tables(own).group_by(["group", "depth", "lang", "suffix"]).aggregate([("n", "sum")]).rename_columns(["group", "depth", "lang", "suffix", "n"]).combine_chunks())
+        return out
 
     return docs.select("text", "lang").mapInArrow(run, schema)
 
