@@ -162,14 +162,15 @@ def verdicts_held(spark, sf_dir):
     verdict = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type"))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).cast("int").alias("version"), verdict.alias("verdict"))
     path, out = scratch_path(spark, "verdicts"), scratch_path(spark, "held")
-    for k, (first, last) in enumerate(((1, 10), (11, 20), (21, 31))):
-        rows.filter(F.dayofmonth("ts").between(first, last)).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    held_verdicts(stream, "12 hours", 1).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    # what has arrived is a batch, of any number of files; each run goes on from the state of the one before
+    for k, (first, last) in enumerate(((1, 10), (11, 20), (21, 31))):
+        rows.filter(F.dayofmonth("ts").between(first, last)).write.parquet(f"{path}/{k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/*")
+        held_verdicts(stream, "12 hours", 1).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     held = spark.read.schema("key string, id long, ts timestamp, hit boolean, verdict string").parquet(f"{out}/batch=*")
     return held.unionByName(never_held(rows)).select(F.col("id").alias("event_id"), "hit", "verdict")
 

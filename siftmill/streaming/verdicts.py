@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 OUT = "key string, id long, ts timestamp, hit boolean, verdict string"
-STATE = "micros long, id long, version int, verdict string"
+STATE = "keys array<string>, micros array<long>, ids array<long>, verdicts array<string>"
+#: Groups that the keys are dealt out in: a call of Python costs some milliseconds, whatever it is for.
+GROUPS = 512
 
 
 def _micros(ts: pd.Series) -> pd.Series:
     return ts.astype("datetime64[us]").astype("int64")
 
 
-def held_verdicts(stream: DataFrame, hold: str, version: int, late: str = "1 hour") -> DataFrame:
+def held_verdicts(stream: DataFrame, hold: str, version: int, late: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """Every asked row of a stream with the verdict that held for its key: key, id, ts, hit, verdict.
 
     ``stream`` has key, id, ts, version and verdict; rows without a verdict ask, rows with one teach. A verdict of at
@@ -26,32 +29,51 @@ def held_verdicts(stream: DataFrame, hold: str, version: int, late: str = "1 hou
     once the watermark has passed the end of its hold a timer drops it, so that the state is as large as what holds. Rows
     of a batch are taken in order of ts and id; the stream's batches must come in order of time but for ``late``. Rows
     without a time or a key never meet the state: ``never_held`` answers them.
+
+    Keys are dealt out in ``groups`` by their hash; the keys of one are a state and a timer, and one call for a batch.
     """
     micros = int(pd.Timedelta(hold) / pd.Timedelta(microseconds=1))
     dated = stream.filter("ts IS NOT NULL AND key IS NOT NULL").withWatermark("ts", late)
 
-    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(state: GroupState, last: pd.DataFrame) -> None:
+        mark = state.getCurrentWatermarkMs()
+        last = last[(last["micros"] + micros) // 1000 > mark]
+        if last.empty:
+            if state.exists:
+                state.remove()
+            return
+        state.update((last.index.tolist(), last["micros"].tolist(), last["ids"].tolist(), last["verdicts"].tolist()))
+        # a timer must lie after the watermark
+        state.setTimeoutTimestamp(max(int(last["micros"].min() + micros) // 1000, mark + 1))
+
+    def walk(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, at, ids, verdicts = state.get if state.exists else ([], [], [], [])
+        last = pd.DataFrame({"micros": pd.Series(at, dtype="int64"), "ids": pd.Series(ids, dtype="int64"), "verdicts": pd.Series(verdicts, dtype=object)}).set_axis(pd.Index(keys, dtype=object))
         if state.hasTimedOut:
-            state.remove()
+            keep(state, last)
             return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"], kind="stable")
-        at = _micros(rows["ts"]).tolist()
-        out = []
-        for k, (i, of, verdict) in enumerate(zip(rows["id"], rows["version"], rows["verdict"], strict=True)):
-            if isinstance(verdict, str):
-                if of >= version and (last is None or (at[k], int(i)) >= (last[0], last[1])):
-                    last = (at[k], int(i), int(of), verdict)
-                continue
-            holds = last is not None and last[0] <= at[k] < last[0] + micros
-            out.append((key[0], int(i), rows["ts"].iloc[k], holds, last[3] if holds else None))
-        if last is not None:
-            state.update(last)
-            # a timer must lie after the watermark
-            state.setTimeoutTimestamp(max((last[0] + micros) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "ts", "hit", "verdict"])
-
-    return dated.groupBy("key").applyInPandasWithState(walk, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        rows = pd.concat(list(parts)).sort_values(["key", "ts", "id"], kind="stable", ignore_index=True)
+        at, ids, verdict = _micros(rows["ts"]).to_numpy(), rows["id"].to_numpy(dtype="int64"), rows["verdict"].to_numpy(dtype=object)
+        asks = rows["verdict"].isna().to_numpy()
+        key = rows["key"].to_numpy(dtype=object)
+        begins = np.r_[True, key[1:] != key[:-1]]
+        # the key's last verdict in the batch at or before each row, -1 if there is none, or the state's where that is later
+        taught = np.maximum.accumulate(np.where(~asks & (rows["version"].to_numpy() >= version), np.arange(len(rows)), -1))
+        taught = np.where(taught >= np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0)), taught, -1)
+        place = last.index.get_indexer(key)
+        of = lambda c, own, none: np.where(taught >= 0, own[taught], np.where(place >= 0, last[c].to_numpy()[place] if len(last) else none, none))
+        if len(last):
+            old_at, old_id = last["micros"].to_numpy()[place], last["ids"].to_numpy()[place]
+            taught = np.where((place >= 0) & ((at[taught] < old_at) | ((at[taught] == old_at) & (ids[taught] < old_id))), -1, taught)
+        known = (taught >= 0) | (place >= 0)
+        since, by, told = of("micros", at, 0), of("ids", ids, 0), of("verdicts", verdict, None)
+        holds = known & (since <= at) & (at - since < micros)
+        ends = known & np.r_[begins[1:], True]
+        fresh = pd.DataFrame({"micros": since[ends].astype("int64"), "ids": by[ends].astype("int64"), "verdicts": told[ends]}, index=pd.Index(key[ends], dtype=object))
+        keep(state, pd.concat([last[~last.index.isin(fresh.index)], fresh]) if len(last) else fresh)
+        yield pd.DataFrame({"key": key[asks], "id": ids[asks], "ts": rows["ts"].to_numpy()[asks], "hit": holds[asks], "verdict": np.where(holds, told, None)[asks]})
+
+    return dated.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInPandasWithState(walk, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def never_held(rows: DataFrame) -> DataFrame:
