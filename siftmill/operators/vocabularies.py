@@ -7,10 +7,13 @@ vocabulary too large for one automaton is several, each of a bounded number of c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +23,8 @@ from siftmill.tables import stored
 
 #: Characters of an automaton's terms, each of which takes a node of some tens of bytes in every task.
 AUTOMATON_CHARS = 4 << 20
+#: Different pairs of words after which a task hands on what it has added up.
+HELD_PAIRS = 1 << 18
 #: Terms of up to so many letters must end with a word as they begin with one.
 SHORT = 3
 
@@ -34,19 +39,63 @@ def learned_terms(docs: DataFrame, per_language: int, section: str = "frequent")
     """The most frequent pairs of neighbouring words of each language as terms of whole words.
 
     docs has lang and text; words are runs of letters and digits in lower case, pairs do not reach over other characters
-    than single spaces. Ties go by the pair's own order; a language's share is found in parts of the pairs first.
+    than single spaces. Ties go by the pair's own order; each task hands on no more than a language's share of its pairs, unsorted.
     """
-    words = F.split(F.lower("text"), " ")
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit(""))))
-    each = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.explode(pairs).alias("term"))
-    counts = each.filter(F.col("term").rlike(r"^[\p{L}\p{N}_]+ [\p{L}\p{N}_]+$")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.lower("text").alias("text"))
+    counts = texts.mapInArrow(_pairs, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.col("term")]
-    share = F.pmod(F.xxhash64("term"), F.lit(64))
-    first = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).filter(F.col("at") <= per_language).drop("at")
+    first = counts.mapInArrow(_most(per_language), "lang string, term string, n long")
     chosen = first.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("at") <= per_language)
     return chosen.select(F.lit(section).alias("section"), "lang", "term", F.lit(True).alias("whole"))
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each pair of neighbouring words stands in texts, by language; pairs are added up within a task first."""
+    seen: dict[str, Counter[str]] = {}
+
+    def told() -> pa.RecordBatch:
+        langs, terms, counts = ([], [], [])
+        for lang, pairs in seen.items():
+            langs += [lang] * len(pairs)
+            terms += pairs.keys()
+            counts += pairs.values()
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["lang", "term", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            words, pairs = text.as_py().split(" "), seen.setdefault(lang, Counter())
+            for start in range(0, len(words), HELD_PAIRS):
+                part = words[start : start + HELD_PAIRS + 1]
+                whole = {w for w in set(part) if w.replace("_", "0").isalnum()}
+                pairs.update([f"{a} {b}" for a, b in pairwise(part) if a in whole and b in whole])
+                if sum(map(len, seen.values())) > HELD_PAIRS:
+                    yield told()
+                    pairs = seen.setdefault(lang, Counter())
+    yield told()
+
+
+def _most(per_language: int):
+    """Of a task's pairs the most frequent of each language; no more than some times as many are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[int, str]]] = {}
+        least: dict[str, int] = {}
+        for batch in batches:
+            for lang in batch.column("lang").unique().to_pylist():
+                own = batch.filter(pc.and_(pc.equal(batch.column("lang"), lang), pc.greater_equal(batch.column("n"), least.get(lang, 0))))
+                pairs = held.setdefault(lang, [])
+                pairs += [(-n, term) for n, term in zip(own.column("n").to_pylist(), own.column("term").to_pylist(), strict=True)]
+                if len(pairs) > 2 * per_language:
+                    held[lang] = sorted(pairs)[:per_language]
+                    least[lang] = -held[lang][-1][0]
+        for lang, pairs in held.items():
+            most = sorted(pairs)[:per_language]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(most), pa.string()), pa.array([t for _, t in most], pa.string()), pa.array([-n for n, _ in most], pa.int64())], names=["lang", "term", "n"])
+
+    return run
+
+
 def is_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
